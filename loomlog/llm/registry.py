@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomlog.llm import exact_dedup
+from loomlog.llm import exact_dedup, packing
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLES = {
