@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomlog.llm import exact_dedup, packing
+from loomlog.llm import exact_dedup, langid, packing
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES = {
