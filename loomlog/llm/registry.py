@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomlog.llm import exact_dedup, langid, packing
+from loomlog.llm import exact_dedup, langid, packing, pii
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_packing": packing.op9_packing,
     "op10_language_id": langid.op10_language_id,
 }
