@@ -35,8 +35,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ASCII_DIGIT = re.compile(r"[0-9]")
 
 # Letters of other scripts that look like the ASCII letters in the same places.
-LOOKALIKES = "АВСЕНІЈКМОРЅТХУаcеһіјорѕухΑΒΕΖΗΙΚΜΝΟΡΤΥΧοаɡıԁԛԝ"
-LOOKED_LIKE = "ABCEHIJKMOPSTXYacehijopsyxABEZHIKMNOPTYXoagidqw"
+LOOKALIKES = "АВСЕНІЈКМОРЅТХУа\u0441еһіјорѕухΑΒΕΖΗΙΚΜΝΟΡΤΥΧοɡıԁԛԝ"
+LOOKED_LIKE = "ABCEHIJKMOPSTXYacehijopsyxABEZHIKMNOPTYXogidqw"
 SIGNS = {"․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "＠": "@", "﹫": "@"}
 DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 SPELLED = {w: str(k) for k, w in enumerate(DIGIT_WORDS)} | {"oh": "0"} | {c: c for c in "0123456789"}
