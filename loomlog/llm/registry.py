@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomlog.llm import exact_dedup, langid, packing, pii
+from loomlog.llm import exact_dedup, langid, packing, pii, secrets
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_personal_data": pii.op8_personal_data,
     "op9_packing": packing.op9_packing,
