@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomlog.llm import exact_dedup, langid, packing, pii, secrets
+from loomlog.llm import exact_dedup, langid, packing, pii, secrets, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_personal_data": pii.op8_personal_data,
     "op9_packing": packing.op9_packing,
     "op10_language_id": langid.op10_language_id,
