@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomlog.llm import exact_dedup, langid, packing, pii, secrets, toxicity
+from loomlog.llm import exact_dedup, langid, neardup, packing, pii, secrets, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_personal_data": pii.op8_personal_data,
