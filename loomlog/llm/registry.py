@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomlog.llm import exact_dedup, langid, neardup, packing, pii, secrets, toxicity
+from loomlog.llm import exact_dedup, langid, neardup, packing, pii, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
