@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomlog.llm import exact_dedup, langid, neardup, packing, pii, secrets, suffix_dedup, toxicity
+from loomlog.llm import exact_dedup, langid, line_dedup, neardup, packing, pii, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }

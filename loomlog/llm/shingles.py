@@ -29,14 +29,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+, A-Z in lower case; where each row's words begin (one more for the end);
-    the byte in the column at which each word begins."""
+#: Bytes that words are made of: all but blanks; letters and digits (and what isn't ASCII); all but line ends.
+VISIBLE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+ALPHANUMERIC = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+IN_LINE = np.array([b != 10 for b in range(256)])
+
+
+def words(column: pa.Array, ink: np.ndarray = VISIBLE, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, runs of ``ink`` bytes, A-Z in lower case if ``fold``; where each row's words begin (one more
+    for the end); the byte in the column at which each word begins."""
     data, at = flat(column)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int64)
-    low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    ink = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32) if fold else data
+    ink = ink[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True  # words end with their text
     first = ink.copy()

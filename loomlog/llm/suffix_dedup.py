@@ -136,21 +136,31 @@ def by_name(rows: DataFrame, settle, held: list[str]) -> DataFrame:
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: list[pa.RecordBatch] = []
+        parted = None  # the name of the group that was flushed last
+
+        def settled(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            rest = int(np.searchsorted(whole.column(0).to_numpy(), parted, "right")) if parted is not None and whole.column(0)[0].as_py() == parted else 0
+            if rest:
+                yield from settle(whole.slice(0, rest), True)
+            if rest < len(whole):
+                yield from settle(whole.slice(rest).combine_chunks(), False)
+
         for batch in batches:
             if not len(batch):
                 continue
             name = np.asarray(batch.column(0))
             last = int(np.searchsorted(name, name[-1]))  # where the last group, perhaps unfinished, begins
             if last or (carried and carried[0].column(0)[0].as_py() != name[0]):
-                whole = pa.Table.from_batches([*carried, batch.slice(0, last)]).combine_chunks() if last else pa.Table.from_batches(carried).combine_chunks()
-                yield from settle(whole, False)
+                yield from settled([*carried, batch.slice(0, last)] if last else carried)
                 carried = []
             carried.append(batch.slice(last))
             if sum(map(len, carried)) > GROUP:
                 yield from settle(pa.Table.from_batches(carried).combine_chunks(), True)
+                parted = carried[0].column(0)[0].as_py()
                 carried = []
         if carried:
-            yield from settle(pa.Table.from_batches(carried).combine_chunks(), False)
+            yield from settled(carried)
 
     return rows.select(*held).repartition(n, "name").sortWithinPartitions("name").mapInArrow(groups, TUPLES)
 
@@ -276,15 +286,18 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes if ``texts``)."""
-    rows = id_and_text(docs, id_col, text_col)
+def ordered(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with doc: the identifier where it is unique, else a number in order of identifier and digest."""
     doubled = rows.groupBy("doc_id").count().where("doc_id is null or count > 1")
     if doubled.isEmpty():
-        rows = rows.withColumn("doc", F.col("doc_id"))
-    else:
-        ordered = rows.withColumn("digest", F.sha2("text", 256)).orderBy(F.col("doc_id").asc_nulls_last(), "digest")
-        rows = staged(ordered.select("doc_id", "text", F.monotonically_increasing_id().alias("doc")), "ordered")
+        return rows.withColumn("doc", F.col("doc_id"))
+    sorted_ = rows.withColumn("digest", F.sha2("text", 256)).orderBy(F.col("doc_id").asc_nulls_last(), "digest")
+    return staged(sorted_.select("doc_id", "text", F.monotonically_increasing_id().alias("doc")), "ordered")
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept bytes if ``texts``)."""
+    rows = ordered(id_and_text(docs, id_col, text_col))
     found = repeats(rows.select("doc", "text"), length).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("mark").alias("sizes"))
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 
