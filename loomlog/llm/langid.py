@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm.arrays import chunks, code_points, mix, sums
-from loomlog.llm.common import id_and_text, table, text_of
+from loomlog.llm.common import id_and_text, table
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -117,26 +117,33 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], n
     return langs, matrix.astype(np.float32), np.log(docs / max(1, docs.sum()))
 
 
+class Scorer:
+    def __init__(self, model: tuple[list[str], np.ndarray, np.ndarray]):
+        self.langs, matrix, self.prior = model
+        self.by_lang = [np.ascontiguousarray(matrix[:, j]) for j in range(len(self.langs))]
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Names and posteriors."""
+        buckets, at, n_letters = grams(column)
+        if not self.langs:
+            return np.full(len(at) - 1, UNKNOWN, dtype=object), np.zeros(len(at) - 1)
+        told = np.tile(self.prior, (len(at) - 1, 1))
+        for j, logs in enumerate(self.by_lang):
+            told[:, j] += sum(sums(logs[bucket], at) for bucket in buckets)
+        known = n_letters > 0
+        top = 1 / np.exp(told - told.max(1, keepdims=True)).sum(1) if len(told) else np.zeros(0)
+        return np.where(known, np.array(self.langs, dtype=object)[told.argmax(1)], UNKNOWN), np.where(known, top, 0.0)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, text) to (doc_id, lang_pred, score)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, matrix, prior = shared.value
-        by_lang = [np.ascontiguousarray(matrix[:, j]) for j in range(len(langs))]
+        scorer = Scorer(shared.value)
         for batch in chunks(batches, 1):
-            buckets, at, n_letters = grams(batch.column(1))
-            told = np.tile(prior, (len(at) - 1, 1))
-            for j, column in enumerate(by_lang):
-                told[:, j] += sum(sums(column[bucket], at) for bucket in buckets)
-            known = n_letters > 0 if langs else np.zeros(len(at) - 1, bool)
-            if langs:
-                best = told.argmax(1)
-                top = 1 / np.exp(told - told.max(1, keepdims=True)).sum(1)
-                names = np.where(known, np.array(langs, dtype=object)[best], UNKNOWN)
-            else:
-                top, names = np.zeros(len(at) - 1), np.full(len(at) - 1, UNKNOWN, dtype=object)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(known, top, 0.0))], ["doc_id", "lang_pred", "score"])
+            names, top = scorer(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(top)], ["doc_id", "lang_pred", "score"])
 
     return docs.mapInArrow(score, "doc_id long, lang_pred string, score double")
 
@@ -152,30 +159,19 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.5, **columns: str) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text has a language that the model tells with ``least`` posterior.
-    Told row by row from the text, so no join back is needed."""
-    model = fit(train_rows(docs, **columns))
-    text_col, names = columns.get("text_col", "text"), docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text has a language that the model tells with ``least`` posterior."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(train_rows(docs, id_col, text_col, lang_col)))
+    place = docs.columns.index(text_col)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([batch.column(place).fill_null("")], ["t"])
+            kept = [top >= least for part in chunks(iter([own]), 0) for top in scorer(part.column(0))[1]]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    @F.pandas_udf("boolean")
-    def told(texts):  # one batch of texts; texts: pandas.Series -> pandas.Series
-        import pandas as pd
-
-        langs, matrix, prior = shared.value
-        out = []
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        for batch in chunks(iter([pa.RecordBatch.from_arrays([column], ["t"])]), 0):
-            buckets, at, n_letters = grams(batch.column(0))
-            scores = np.tile(prior, (len(at) - 1, 1))
-            for j in range(len(langs)):
-                scores[:, j] += sum(sums(matrix[:, j][bucket], at) for bucket in buckets)
-            top = 1 / np.exp(scores - scores.max(1, keepdims=True)).sum(1) if langs else np.zeros(len(at) - 1)
-            out.append((n_letters > 0) & (top >= least))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
-
-    return docs.where(told(text_of(text_col))).select(*names)
+    return docs.mapInArrow(sift, docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomlog.llm import exact_dedup, langid, line_dedup, neardup, packing, pii, secrets, suffix_dedup, toxicity
+from loomlog.llm import decontamination, exact_dedup, langid, line_dedup, neardup, packing, pii, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_near_duplicates": neardup.op5_near_duplicates,
