@@ -1,6 +1,6 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts are words (runs of letters and digits, case folded for A-Z). A document holds an item if some stretch of its words
+Texts are words (runs of letters and digits in lower case). A document holds an item if some stretch of its words
 is within ``ALLOWED`` percent of the item's words in edit distance. Windows of an item's size are taken where enough of
 the item's word triples lie: an item of n words with d edits keeps n - 2 - 3d triples, so no stretch within the allowed
 distance is passed over. Windows and items go through ``WALKS`` CGK random walks, which turn edit distance into Hamming
@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ class Items:
 
     def search(self, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, last word) of the items in a column of texts, the best place of each."""
-        text, at, _ = words(column, ALPHANUMERIC)
+        text, at, _ = words(pc.utf8_lower(column), ALPHANUMERIC)
         hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for size, (known, item, q) in self.triples.items():
             own = grams(text, size)
@@ -157,7 +158,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, allowed: int) -> Iterat
     number = -(-size // BLOCK_BYTES)
     for block in range(number):
         held = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == block).orderBy("item_id", "text").collect()
-        text, at, _ = words(pa.array([r["text"] for r in held], pa.string()), ALPHANUMERIC)
+        text, at, _ = words(pc.utf8_lower(pa.array([r["text"] for r in held], pa.string())), ALPHANUMERIC)
         some = [(r["item_id"], text[a:b]) for r, a, b in zip(held, at[:-1], at[1:], strict=True) if b > a]
         yield Items([i for i, _ in some], [w for _, w in some], allowed)
 
