@@ -26,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +43,7 @@ MOST_REGISTERS = 128
 MARGIN = 0.12
 BLOCK = 256
 BEST = 4
+EQUAL_AT_LEAST = 0.5  # equal registers, below which no likelihood is worked out
 
 
 def bands(percent: int) -> tuple[int, int]:
@@ -102,12 +102,12 @@ def sketch(docs: DataFrame, k: int, rows: int, number: int) -> DataFrame:
 
 
 def likeliest(more: np.ndarray, less: np.ndarray, m: int, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """The similarity under which it is likeliest that ``more`` registers of a exceed b's and ``less`` fall short."""
+    """The similarity, 0.5 at least, under which it is likeliest that ``more`` registers of a exceed b's and ``less`` fall short."""
     share = n_a / (n_a + n_b)
     other = 1 - share
     above = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (B - 1) / B) / np.log(B)
     best, at = np.full(len(more), -np.inf), np.zeros(len(more))
-    for similarity in np.linspace(0, 1, 101):
+    for similarity in np.linspace(0.5, 1, 51):
         possible = similarity <= np.minimum(share / other, other / share) + 1e-9
         p, q = above(share - other * similarity), above(other - share * similarity)
         told = more * np.log(p) + less * np.log(q) + (m - more - less) * np.log(np.maximum(1 - p - q, 1e-12))
@@ -132,30 +132,78 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(hold, "a long, b long")
 
 
-def residual(mixed: DataFrame, m: int, percent: int, best: int | None) -> DataFrame:
-    """(key, block, query, id, component, n, registers): pairs of different components near the threshold."""
+def near_pairs(group: pa.Table, rows: int, number: int, least: float, best: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of queries and members of whole groups (members first in each) whose estimate is ``least`` or more.
+
+    A pair that shares several bands counts in the first one only.
+    """
+    key, block, asked, ids, comps, sizes, band = (group.column(c).to_numpy() for c in ("key", "block", "asked", "id", "component", "n", "band"))
+    query = group.column("query").to_numpy(zero_copy_only=False)
+    change = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (asked[1:] != asked[:-1])
+    starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+    of = np.cumsum(np.concatenate([[0], change]))
+    members = np.add.reduceat(~query, starts)
+    regs = np.stack([np.frombuffer(x, np.uint16) for x in group.column("registers").to_pylist()]).astype(np.int16)
+    asking = np.flatnonzero(query & (members[of] > 0))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    ends = np.cumsum(members[of[asking]])
+    first = 0
+    while first < len(asking):  # some 20,000 pairs at a time
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 20_000, "right")))
+        some, n = asking[first:last], members[of[asking[first:last]]]
+        x = np.repeat(some, n)
+        y = np.repeat(starts[of[some]], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        fit = (comps[x] != comps[y]) & (np.minimum(sizes[x], sizes[y]) >= least * np.maximum(sizes[x], sizes[y]))
+        x, y = x[fit], y[fit]
+        diff = regs[x] - regs[y]
+        equal = diff == 0
+        fit = (equal.sum(1) >= EQUAL_AT_LEAST * diff.shape[1]) & (equal.reshape(len(x), number, rows).all(2).argmax(1) == band[x])
+        x, y, diff = x[fit], y[fit], diff[fit]
+        told = likeliest((diff > 0).sum(1), (diff < 0).sum(1), diff.shape[1], sizes[x].astype(float), sizes[y].astype(float))
+        fit = told >= least
+        out.append((x[fit], y[fit], told[fit]))
+        first = last
+    x, y, told = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
+    if best is not None and len(x):
+        order = np.lexsort((ids[y], -told, x))
+        x, y = x[order], y[order]
+        begins = np.concatenate([[True], x[1:] != x[:-1]])
+        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(begins, np.arange(len(x)), 0))
+        x, y = x[rank < best], y[rank < best]
+    return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+
+
+def residual(mixed: DataFrame, rows: int, number: int, percent: int, best: int | None) -> DataFrame:
+    """(key, block, asked, query, id, component, n, band, registers): pairs of different components near the threshold."""
     least = percent / 100 - MARGIN
-
-    def close(key, group: pd.DataFrame) -> pd.DataFrame:
-        asked, there = group[group["query"]], group[~group["query"]]
-        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        if asked.empty or there.empty:
-            return none
-        regs = np.stack([np.frombuffer(x, np.uint16) for x in there["registers"]]).astype(np.int16)
-        ids, comps, sizes = (there[c].to_numpy() for c in ("id", "component", "n"))
-        out = []
-        for row in asked.itertuples():
-            own = np.frombuffer(row.registers, np.uint16).astype(np.int16)
-            n_b = sizes.astype(float)
-            near = np.flatnonzero((comps != row.component) & (np.minimum(n_b, row.n) >= least * np.maximum(n_b, row.n)))
-            if len(near):
-                diff = own[None, :] - regs[near]
-                told = likeliest((diff > 0).sum(1), (diff < 0).sum(1), m, np.full(len(near), float(row.n)), n_b[near])
-                order = np.argsort(-told, kind="stable")[:best]
-                out += [(min(row.id, y), max(row.id, y)) for y in ids[near[order]][told[order] >= least]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else none
-
-    return mixed.groupBy("key", "block", "asked").applyInPandas(close, "a long, b long").distinct()
+    group = ["key", "block", "asked"]
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: list[pa.RecordBatch] = []
+
+        def settled() -> pa.RecordBatch:
+            a, b = near_pairs(pa.Table.from_batches(carried).combine_chunks(), rows, number, least, best)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            same = np.ones(len(batch), bool)  # rows of the last group, perhaps unfinished
+            for c in range(3):
+                x = np.asarray(batch.column(c))
+                same &= x == x[-1]
+            last = int(np.argmax(same))
+            if last or (carried and any(carried[-1].column(c)[-1] != batch.column(c)[0] for c in range(3))):
+                if last:
+                    carried.append(batch.slice(0, last))
+                yield settled()
+                carried = []
+            carried.append(batch.slice(last))
+        if carried:
+            yield settled()
+
+    dealt = mixed.select(*group, "query", "id", "component", "n", "band", "registers").repartition(*group)
+    return dealt.sortWithinPartitions(*group, "query").mapInArrow(close, "a long, b long").distinct()
 
 
 def classes(drawn: DataFrame) -> DataFrame:
@@ -176,7 +224,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = members.where("doc_id = rep").select("doc_id")
     own = known.where("n_shingles > 0").join(reps, "doc_id", "left_semi")
-    met = staged(own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")).distinct(), "bands")
+    met = staged(own.select(F.posexplode("keys").alias("band", "key"), F.col("doc_id").alias("id")).distinct(), "bands")
     order = F.struct(F.xxhash64("key", "id"), "id")
     leaders = staged(met.groupBy("key").agg(F.min(order)["id"].alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "leaders")
     shared = staged(met.join(leaders, "key"), "buckets")
@@ -187,19 +235,19 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     links, tested = staged(verified(first, texts, k, percent), "links"), first
     for best in (BEST, None):
         found = components(links)
-        labelled = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+        labelled = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
         labelled = staged(labelled, "labelled")
         sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         main = staged(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).where("parts > 1"), "mixed")
         sketched = drawn.select(F.col("doc_id").alias("id"), "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
         full = staged(labelled.join(main, "key").join(sketched, "id"), "mixed")
         blocks, asking = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
-        columns = ["key", "id", "component", "n", "registers"]
+        columns = ["key", "band", "id", "component", "n", "registers"]
         place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
         upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         there = full.select(*columns, F.lit(False).alias("query"), place(blocks).alias("block"), upto(asking).alias("asked"))
         asked = full.where("component <> main").select(*columns, F.lit(True).alias("query"), upto(blocks).alias("block"), place(asking).alias("asked"))
-        more = residual(there.union(asked), rows * number, percent, best)
+        more = residual(there.unionByName(asked), rows, number, percent, best)
         more = staged(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
