@@ -197,8 +197,9 @@ def contexts(docs: DataFrame, wanted, length: int) -> DataFrame:
             if (s := sampled(data, at, length)) is None:
                 continue
             if known is not None:
-                j = np.minimum(np.searchsorted(known, s["name"]), max(len(known) - 1, 0))
-                asked = known[j] == s["name"] if len(known) else np.zeros(len(s["name"]), bool)
+                half = (s["name"] >> 32).astype(np.int32)
+                j = np.minimum(np.searchsorted(known, half), max(len(known) - 1, 0))
+                asked = known[j] == half if len(known) else np.zeros(len(half), bool)
             else:  # the names of each document came with it
                 lists = batch.column(2)
                 own = np.asarray(lists.flatten())
@@ -215,6 +216,20 @@ def contexts(docs: DataFrame, wanted, length: int) -> DataFrame:
     return docs.mapInArrow(collect, TUPLES)
 
 
+def halves(unclear: DataFrame) -> np.ndarray:
+    """The upper halves of the names, sorted: a few more suffixes are sent, half as much is broadcast. Tasks' results stay
+    small enough to come without the block manager's buffers."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.asarray(b.column(0)) for b in batches]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(np.concatenate(own)).tobytes()], pa.binary())], ["part"])
+
+    half = unclear.select(F.shiftright("name", 32).cast("int").alias("half")).distinct()
+    parts = half.repartition(64, "half").mapInArrow(pack, "part binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["part"], np.int32) for r in parts)]))
+
+
 def induced(rows: DataFrame, length: int) -> DataFrame:
     """Level 2, reduce side: CONTEXT tuples to REPEATs, and to WINDOW tuples of flushed groups."""
 
@@ -268,10 +283,8 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     second = staged(named(first.where(F.col("kind") == SUFFIX), length), "names")
     found = [x.where(F.col("kind") == REPEAT).select("doc", "start", "mark") for x in (first, second)]
     unclear = second.where(F.col("kind") == SUFFIX)
-    names = unclear.select("name").distinct()
-    if names.count() <= BROADCAST_NAMES:
-        wanted = np.sort(names.toPandas()["name"].to_numpy(np.int64))
-        sent = contexts(docs, spark.sparkContext.broadcast(wanted), length)
+    if unclear.select("name").distinct().count() <= BROADCAST_NAMES:
+        sent = contexts(docs, spark.sparkContext.broadcast(halves(unclear)), length)
     else:
         asked = unclear.groupBy("doc").agg(F.collect_set("name").alias("names"))
         sent = contexts(docs.join(asked, "doc").select("doc", "text", "names"), None, length)
