@@ -39,7 +39,10 @@ CHANGES_IN_TEXT = 0.12  # changes of character class per character that ordinary
 FALSE_DISCOVERIES = 0.01
 RANDOM_AT_LEAST = 1e-3  # battery p-value below which a token isn't random
 BLOCK = 256
-Z = F.lit(0).cast("long")
+
+
+def zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -54,7 +57,7 @@ def running(values: Column) -> Column:
     cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
 
     def joined(blocks: Column) -> Column:
-        ahead = F.aggregate(F.transform(blocks, lambda x: F.aggregate(x, Z, lambda a, v: a + v)), F.array(Z), add)
+        ahead = F.aggregate(F.transform(blocks, lambda x: F.aggregate(x, zero(), lambda a, v: a + v)), F.array(zero()), add)
         starts = F.slice(ahead, F.lit(1), F.size(blocks))
         return F.flatten(F.zip_with(blocks, starts, lambda x, start: F.slice(F.aggregate(x, F.array(start), add), F.lit(1), F.size(x))))
 
@@ -89,7 +92,7 @@ def battery(token: Column, alphabet: Column) -> Column:
     def tested(x: Column) -> Column:
         chars, k = x["chars"], x["k"]
         n = F.size(chars).cast("double")
-        squares = F.aggregate(F.array_distinct(chars), Z, lambda acc, d: acc + F.pow(F.size(F.filter(chars, lambda c: c == d)), F.lit(2)).cast("long"))
+        squares = F.aggregate(F.array_distinct(chars), zero(), lambda acc, d: acc + F.pow(F.size(F.filter(chars, lambda c: c == d)), F.lit(2)).cast("long"))
         codes = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double") - (k + 1) / 2)
         pairs = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         counted = let(codes, lambda c: F.struct(

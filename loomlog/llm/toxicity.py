@@ -129,9 +129,9 @@ def learn(texts: list[str], toxic: np.ndarray) -> dict:
     words = {u[1:]: w for _, u, w in chosen if u[0] == "="}
     beginnings = {u[1:]: w for _, u, w in chosen if u[0] == "^"}
     lexicon = Lexicon(words, beginnings)
-    x = np.array([tapes(t, lexicon) for t in texts]).reshape(len(texts), -1)
     if len(set(toxic.tolist())) < 2:
         return {"words": {}, "beginnings": {}, "mean": [], "scale": [], "w": [], "b": 0.0 if len(toxic) and toxic[0] else -2.0}
+    x = np.array([tapes(t, lexicon) for t in texts])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
