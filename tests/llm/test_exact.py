@@ -33,7 +33,7 @@ def test_secrets_base_and_random_tokens(spark):
     parts = ["token", "SECRET", "api_key", "Apikey", " ", "=", ":", '"', "'", "abc", "abcdef12", "AKIA", "ABCDEFGH12345678", "0123456789abcdef0123", "é", "😀", "\n", ".", "password", "  "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(200)] + ["é token=abcdef12 " * 600]
     secret = "0F6IWSNV5aNDbSb4qvmrb/CW8c8vfOYY"
-    texts.append(f"see {secret} and SomeLongCamelCaseIdentifierName, this_is_a_long_snake_case_name_2, {'a' * 40}")
+    texts.append(f"see {secret} and SomeLongCamelCaseIdentifierName, this_is_a_long_snake_case_name_2, {'z' * 40}")
     rows = secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for r in rows:
         want = base_secrets(texts[r["doc_id"]])
