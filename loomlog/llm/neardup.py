@@ -9,9 +9,10 @@ threshold is missed with probability ``MISS`` at most. Pairs are then found with
 1. each member of a bucket meets the bucket's leader (a different one in each band); the leader met most often is
    checked on full sets, and verified links are joined into components;
 2. where a bucket still has several components, the members outside its largest one are queries against its other
-   members, in blocks; the joint likelihood of both register vectors and set sizes estimates the similarity, and
-   untested pairs of different components with an estimate near the threshold are checked on full sets: first the best
-   few of each, then all that are left. Pairs within a component need no check.
+   members, in blocks; the joint likelihood of both register vectors and set sizes estimates the similarity, and all
+   pairs of different components with an estimate near the threshold are checked on full sets. Buckets of more than
+   ``HOT`` members bring their sets along and are checked within the block, best estimates first, until a query is
+   linked with a component: no pair leaves the task but links. Pairs within a component need no check.
 
 So every pair that shares a band and whose estimate lies within ``MARGIN`` is either linked already or was compared.
 
@@ -42,7 +43,7 @@ MISS = 1e-6
 MOST_REGISTERS = 128
 MARGIN = 0.12
 BLOCK = 256
-BEST = 4
+HOT = 64
 EQUAL_AT_LEAST = 0.5  # equal registers, below which no likelihood is worked out
 
 
@@ -123,20 +124,19 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 2, 1 << 20):
-            ok = [
-                100 * (n := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - n) and n > 0
-                for x, y in zip(sets(batch.column(2), k), sets(batch.column(3), k), strict=True)
-            ]
+            ok = [similar(x, y, percent) for x, y in zip(sets(batch.column(2), k), sets(batch.column(3), k), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(hold, "a long, b long")
 
 
-def near_pairs(group: pa.Table, rows: int, number: int, least: float, best: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of queries and members of whole groups (members first in each) whose estimate is ``least`` or more.
+def near_pairs(group: pa.Table, rows: int, number: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole groups (members first in each) the pairs of queries and members whose estimate is near the threshold; where
+    the sets came along, only links, at most one of a query and a component.
 
     A pair that shares several bands counts in the first one only.
     """
+    least = percent / 100 - MARGIN
     key, block, asked, ids, comps, sizes, band = (group.column(c).to_numpy() for c in ("key", "block", "asked", "id", "component", "n", "band"))
     query = group.column("query").to_numpy(zero_copy_only=False)
     change = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (asked[1:] != asked[:-1])
@@ -163,49 +163,77 @@ def near_pairs(group: pa.Table, rows: int, number: int, least: float, best: int
         fit = told >= least
         out.append((x[fit], y[fit], told[fit]))
         first = last
-    x, y, told = (np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
-    if best is not None and len(x):
-        order = np.lexsort((ids[y], -told, x))
-        x, y = x[order], y[order]
-        begins = np.concatenate([[True], x[1:] != x[:-1]])
-        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(begins, np.arange(len(x)), 0))
-        x, y = x[rank < best], y[rank < best]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y, told = (np.concatenate(c) for c in zip(*out, strict=True))
+    if "set" in group.column_names:
+        order = np.lexsort((ids[y], -told, comps[y], x))
+        kept, done, full, held = [], None, group.column("set"), {}
+        for k in order.tolist():
+            a, b = int(x[k]), int(y[k])
+            if done == (a, comps[b]):
+                continue
+            for row in (a, b):
+                if row not in held:
+                    if len(held) > 4 * BLOCK:
+                        held.clear()
+                    held[row] = np.frombuffer(full[row].as_py(), np.uint64)
+            if similar(held[a] if a in held else np.frombuffer(full[a].as_py(), np.uint64), held[b], percent):
+                kept.append(k)
+                done = (a, comps[b])
+        x, y = x[kept], y[kept]
     return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
 
 
-def residual(mixed: DataFrame, rows: int, number: int, percent: int, best: int | None) -> DataFrame:
-    """(key, block, asked, query, id, component, n, band, registers): pairs of different components near the threshold."""
-    least = percent / 100 - MARGIN
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    n = len(np.intersect1d(x, y, assume_unique=True))
+    return n > 0 and 100 * n >= percent * (len(x) + len(y) - n)
+
+
+def residual(mixed: DataFrame, rows: int, number: int, percent: int) -> DataFrame:
+    """(key, block, asked, query, id, component, n, band, registers and perhaps set) to pairs, or links where sets came."""
     group = ["key", "block", "asked"]
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: list[pa.RecordBatch] = []
 
         def settled() -> pa.RecordBatch:
-            a, b = near_pairs(pa.Table.from_batches(carried).combine_chunks(), rows, number, least, best)
+            a, b = near_pairs(pa.Table.from_batches(carried).combine_chunks(), rows, number, percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            same = np.ones(len(batch), bool)  # rows of the last group, perhaps unfinished
-            for c in range(3):
-                x = np.asarray(batch.column(c))
-                same &= x == x[-1]
-            last = int(np.argmax(same))
-            if last or (carried and any(carried[-1].column(c)[-1] != batch.column(c)[0] for c in range(3))):
-                if last:
-                    carried.append(batch.slice(0, last))
-                yield settled()
-                carried = []
-            carried.append(batch.slice(last))
+        for whole in batches:
+            for batch in (whole.slice(k, 2_000) for k in range(0, len(whole), 2_000)):
+                same = np.ones(len(batch), bool)  # rows of the last group, perhaps unfinished
+                for c in range(3):
+                    x = np.asarray(batch.column(c))
+                    same &= x == x[-1]
+                last = int(np.argmax(same))
+                if last or (carried and any(carried[-1].column(c)[-1] != batch.column(c)[0] for c in range(3))):
+                    if last:
+                        carried.append(batch.slice(0, last))
+                    yield settled()
+                    carried = []
+                carried.append(batch.slice(last))
         if carried:
             yield settled()
 
-    dealt = mixed.select(*group, "query", "id", "component", "n", "band", "registers").repartition(*group)
+    sent = [*group, "query", "id", "component", "n", "band", "registers", *(c for c in mixed.columns if c == "set")]
+    dealt = mixed.select(*sent).repartition(*group)
     return dealt.sortWithinPartitions(*group, "query").mapInArrow(close, "a long, b long").distinct()
 
 
+def with_sets(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Rows with the full set of their document as bytes."""
+    schema = "id long, set binary"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 1, 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets(batch.column(1), k)], pa.binary())], ["id", "set"])
+
+    wanted = texts.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return rows.join(wanted.select("doc_id", "text").mapInArrow(draw, schema), "id")
+
+
 def classes(drawn: DataFrame) -> DataFrame:
     """(doc_id, rep): the least identifier with the same set."""
     runs = runs_for(drawn.sparkSession)
@@ -232,27 +260,29 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     first = staged(votes.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
     candidates = shared.select(F.col("id").alias("doc_id")).distinct()
     texts = staged(docs.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links, tested = staged(verified(first, texts, k, percent), "links"), first
-    for best in (BEST, None):
-        found = components(links)
-        labelled = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-        labelled = staged(labelled, "labelled")
-        sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = staged(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).where("parts > 1"), "mixed")
-        sketched = drawn.select(F.col("doc_id").alias("id"), "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
-        full = staged(labelled.join(main, "key").join(sketched, "id"), "mixed")
-        blocks, asking = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
-        columns = ["key", "band", "id", "component", "n", "registers"]
-        place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-        upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        there = full.select(*columns, F.lit(False).alias("query"), place(blocks).alias("block"), upto(asking).alias("asked"))
-        asked = full.where("component <> main").select(*columns, F.lit(True).alias("query"), upto(blocks).alias("block"), place(asking).alias("asked"))
-        more = residual(there.unionByName(asked), rows, number, percent, best)
-        more = staged(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        links = links.union(staged(verified(more, texts, k, percent), "links"))
-        tested = tested.union(more)
+    links = staged(verified(first, texts, k, percent), "links")
+    found = components(links)
+    labelled = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    labelled = staged(labelled, "labelled")
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = staged(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).where("parts > 1"), "main")
+    sketched = drawn.select(F.col("doc_id").alias("id"), "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
+    full = staged(labelled.join(main, "key").join(sketched, "id"), "mixed")
+    blocks, asking = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        columns = [c for c in rows.columns if c in ("key", "band", "id", "component", "n", "registers", "set")]
+        there = rows.select(*columns, F.lit(False).alias("query"), place(blocks).alias("block"), upto(asking).alias("asked"))
+        asked = rows.where("component <> main").select(*columns, F.lit(True).alias("query"), upto(blocks).alias("block"), place(asking).alias("asked"))
+        return there.unionByName(asked)
+
+    small = staged(residual(dealt(full.where(F.col("all") <= HOT)), rows, number, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    large = full.where(F.col("all") > HOT)
+    links = links.union(staged(verified(small, texts, k, percent), "links"))
+    if not large.isEmpty():
+        links = links.union(staged(residual(dealt(with_sets(large, texts, k)), rows, number, percent), "links"))
     return drawn.select("doc_id", "n_shingles"), components(links.union(same))
 
 

@@ -51,8 +51,10 @@ def brute_components(docs, k, percent):
     return {d: root(d) for d in docs}, {d: len(s) for d, s in found.items()}
 
 
-@pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
-def test_near_duplicates_match_brute_force(spark, k, percent):
+@pytest.mark.parametrize("k, percent, hot", [(3, 85, 64), (5, 80, 64), (3, 85, 3)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "BLOCK", 256 if hot > 3 else 4)
     rng = random.Random(k)
     vocabulary = [f"w{i}" for i in range(300)]
     docs = {}
