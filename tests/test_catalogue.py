@@ -32,6 +32,7 @@ def test_merged_page_takes_ordered_rows(spark):
 def test_position_predicates_reach_the_scan(spark, tmp_path):
     from loomlog.operators.replay import read_from
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     event_log(spark, DATA).drop("event_id").write.parquet(str(tmp_path / "log"))
     plan = _plan(read_from(spark.read.parquet(str(tmp_path / "log")), 1, (0, 500), 5))
     assert "GreaterThan(next_offset,500)" in plan.replace(" ", "") and "EqualTo(shard_id,1)" in plan
