@@ -12,9 +12,10 @@ on disk merged through priority queues) over tuples of a name and a place:
 2. names with several contexts are ambiguous: their suffixes go, with their bytes, through a second sort by name, and
    windows are induced from the named suffix by their offset and the bytes on both sides, in groups of one name.
 
-Map tasks do the same within their chunk first, so a passage in a third of all documents sends one tuple a chunk. Large
-groups are flushed: what a flush parts is settled by a third sort, by the windows' own names, so no size limit changes
-a result. Ambiguous names are broadcast only up to ``BROADCAST_NAMES``; beyond, they are joined by document. Names are
+Map tasks do the same within their chunk first, so a passage in a third of all documents sends one tuple a chunk. Names
+with more than ``BUSY`` contexts (the ``BUSY_NAMES`` largest) are dealt out by their windows' own names instead, in a
+third sort. Large groups are flushed: what a flush parts goes through that third sort too, so no size limit changes a
+result. Ambiguous names are broadcast only up to ``BROADCAST_NAMES``; beyond, they are joined by document. Names are
 64-bit hashes, contexts 40 bits more.
 
 A byte goes if a ``length``-byte string that covers it also starts earlier (smaller identifier, or earlier in the same
@@ -40,6 +41,7 @@ from loomlog.llm.shingles import _constants, powers
 LENGTH = 100
 GRAM = 16
 BROADCAST_NAMES = 4_000_000
+BUSY, BUSY_NAMES = 500, 20_000  # contexts of a name above which it is dealt out by window; most such names, by contexts
 GROUP = 100_000  # tuples of one name that a task holds at once
 TUPLES = "kind int, name long, mark long, doc long, start long, bytes binary"
 NAMES = ["kind", "name", "mark", "doc", "start", "bytes"]
@@ -187,8 +189,9 @@ def named(rows: DataFrame, length: int) -> DataFrame:
     return by_name(rows, settle, ["name", "mark", "doc", "start"])
 
 
-def contexts(docs: DataFrame, wanted, length: int) -> DataFrame:
-    """Level 2, map side: CONTEXT tuples (start: first window; mark: number of windows; bytes: all their bytes) of the names wanted."""
+def contexts(docs: DataFrame, wanted, busy: np.ndarray, length: int) -> DataFrame:
+    """Level 2, map side: CONTEXT tuples (start: first window; mark: number of windows; bytes: all their bytes) of the names
+    wanted, but for busy ones."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wanted.value if wanted is not None else None
@@ -205,7 +208,7 @@ def contexts(docs: DataFrame, wanted, length: int) -> DataFrame:
                 own = np.asarray(lists.flatten())
                 row = np.repeat(np.arange(len(batch)), np.diff(np.asarray(lists.offsets)))
                 asked = np.fromiter(((r, x) in pairs for r, x in zip(s["row"].tolist(), s["name"].tolist(), strict=True)), bool, len(s["row"])) if (pairs := set(zip(row.tolist(), own.tolist(), strict=True))) else np.zeros(len(s["row"]), bool)
-            s = {k: v[asked] for k, v in s.items()}
+            s = {k: v[asked & ~np.isin(s["name"], busy)] for k, v in s.items()}
             doc, start = np.asarray(batch.column(0))[s["row"]], s["low"] - at[s["row"]]
             order, first = firsts((s["name"], s["context"]), doc, start)
             kept = order[first]
@@ -216,6 +219,31 @@ def contexts(docs: DataFrame, wanted, length: int) -> DataFrame:
     return docs.mapInArrow(collect, TUPLES)
 
 
+def busy_windows(docs: DataFrame, busy: np.ndarray, length: int) -> DataFrame:
+    """Level 2, map side, for names with very many contexts: WINDOW tuples of their suffixes and REPEATs of the chunk, so
+    the work on such a name is dealt out by window and not by name."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 1):
+            data, at = flat(batch.column(1))
+            if (s := sampled(data, at, length)) is None or not (asked := np.isin(s["name"], busy)).any():
+                continue
+            up, down = powers(len(data) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_constants()[0][data] * up[: len(data)], dtype=np.uint64)])
+            low, number, row = s["low"][asked], (s["high"] - s["low"] + 1)[asked], s["row"][asked]
+            begin = np.repeat(low - np.cumsum(number) + number, number) + np.arange(number.sum())
+            window = mix((sums[begin + length] - sums[begin]) * down[begin]).view(np.int64)
+            row = np.repeat(row, number)
+            doc, start = np.asarray(batch.column(0))[row], begin - at[row]
+            order, first = firsts((window,), doc, start)
+            gone, kept = order[~first], order[first]
+            yield tuples(WINDOW, window[kept], None, doc[kept], start[kept])
+            if len(gone):
+                yield joined(doc[gone], start[gone], np.full(len(gone), length))
+
+    return docs.mapInArrow(spread, TUPLES)
+
+
 def halves(unclear: DataFrame) -> np.ndarray:
     """The upper halves of the names, sorted: a few more suffixes are sent, half as much is broadcast. Tasks' results stay
     small enough to come without the block manager's buffers."""
@@ -283,14 +311,21 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     second = staged(named(first.where(F.col("kind") == SUFFIX), length), "names")
     found = [x.where(F.col("kind") == REPEAT).select("doc", "start", "mark") for x in (first, second)]
     unclear = second.where(F.col("kind") == SUFFIX)
-    if unclear.select("name").distinct().count() <= BROADCAST_NAMES:
-        sent = contexts(docs, spark.sparkContext.broadcast(halves(unclear)), length)
+    counts = staged(unclear.groupBy("name").count(), "counts")
+    most = counts.where(F.col("count") > BUSY).orderBy(F.col("count").desc(), "name").limit(BUSY_NAMES).collect()
+    busy = np.array(sorted(r["name"] for r in most), np.int64)
+    if counts.count() <= BROADCAST_NAMES:
+        sent = contexts(docs, spark.sparkContext.broadcast(halves(counts)), busy, length)
     else:
         asked = unclear.groupBy("doc").agg(F.collect_set("name").alias("names"))
-        sent = contexts(docs.join(asked, "doc").select("doc", "text", "names"), None, length)
+        sent = contexts(docs.join(asked, "doc").select("doc", "text", "names"), None, busy, length)
     third = staged(induced(sent, length), "induced")
     found.append(third.where(F.col("kind") == REPEAT).select("doc", "start", "mark"))
     large = third.where(F.col("kind") == WINDOW)
+    if len(busy):
+        dealt = staged(busy_windows(docs, busy, length), "busy")
+        found.append(dealt.where(F.col("kind") == REPEAT).select("doc", "start", "mark"))
+        large = large.union(dealt.where(F.col("kind") == WINDOW))
     if not large.isEmpty():
         found.append(windows(large, length).where(F.col("kind") == REPEAT).select("doc", "start", "mark"))
     out = found[0]

@@ -98,8 +98,9 @@ def brute_repeats(docs, n):
     return out
 
 
-@pytest.mark.parametrize("group, names", [(100_000, 4_000_000), (20, 4_000_000), (100_000, -1)])
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch, group, names):
+@pytest.mark.parametrize("group, names, busy", [(100_000, 4_000_000, 500), (20, 4_000_000, 500), (100_000, -1, 500), (100_000, 4_000_000, 5)])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, group, names, busy):
+    monkeypatch.setattr(suffix_dedup, "BUSY", busy)
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_NAMES", names)
     rng = random.Random(5)
