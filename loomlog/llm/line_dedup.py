@@ -6,7 +6,10 @@ run alone decides. Positions are joined by fingerprint in an external sort, matc
 (a run's hash), and every run that also starts earlier goes. Map tasks settle the repeats of their own chunk first; very
 large fingerprint groups are flushed and settled by a second sort, by runs.
 
-A line goes if a run of ``RUN`` lines that covers it also starts earlier (smaller identifier, or earlier in the same
+With ``words``, shorter runs of more than that many words (blank-separated, in 1 to ``RUN - 1`` lines) count as well: they
+are sent whole, under their own hash, and their number of lines travels in the low bits of the mark.
+
+A line goes if a run that counts and covers it also starts earlier (smaller identifier, or earlier in the same
 text), judged on the input. Cases: null, empty and line-end-only texts have no lines; texts of fewer lines stay; rows
 without identifier come last and rows with the same identifier are ordered by their text's digest; an empty table gives
 no rows; other columns are ignored. Kept lines are joined by single line ends.
@@ -29,35 +32,53 @@ from loomlog.llm.suffix_dedup import REPEAT, SUFFIX, TUPLES, WINDOW, by_name, fi
 
 RUN = 3
 GRAM = 2
+LONG = 50  # words above which a run counts in op4_line_dedup_long, however few its lines
+LINES = 8  # bits of a mark that hold its run's number of lines
 
 
-def fingerprints(docs: DataFrame, run: int, gram: int) -> DataFrame:
-    """(doc, text) to SUFFIX tuples (name: fingerprint; mark: hash of the run; start: its first line) and REPEATs."""
+def fingerprints(docs: DataFrame, run: int, gram: int, long: int | None = None) -> DataFrame:
+    """(doc, text) to SUFFIX tuples (name: fingerprint; mark: hash of the run, and its lines in the low bits; start: its
+    first line) and REPEATs."""
+    if not gram <= run < 1 << LINES:
+        raise ValueError(f"a run has {gram} to {(1 << LINES) - 1} lines")
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1):
-            lines, at, _ = words(batch.column(1), IN_LINE, fold=False)
-            whole = grams(lines, run)
-            if not len(whole):
+            lines, at, begun = words(batch.column(1), IN_LINE, fold=False)
+            if not len(lines):
                 continue
-            row = np.searchsorted(at, np.arange(len(whole)), "right") - 1
-            inside = np.arange(len(whole)) + run <= at[row + 1]
-            least = np.lib.stride_tricks.sliding_window_view(grams(lines, gram), run - gram + 1).min(1)[: len(whole)]
-            begin, row = np.flatnonzero(inside), row[inside]
-            if not len(begin):
+            row = np.searchsorted(at, np.arange(len(lines)), "right") - 1
+            spoken = None if long is None else np.searchsorted(words(batch.column(1), fold=False)[2], np.append(begun, np.iinfo(np.int64).max))
+            found = []
+            for k in range(run if long is None else 1, run + 1):
+                whole = grams(lines, k)
+                counts = np.arange(len(whole)) + k <= at[row[: len(whole)] + 1]
+                if k < run:
+                    counts &= spoken[k:] - spoken[:-k] > long
+                begin = np.flatnonzero(counts)
+                if not len(begin):
+                    continue
+                name = whole if k < run else np.lib.stride_tricks.sliding_window_view(grams(lines, gram), run - gram + 1).min(1)
+                mark = whole[begin] >> np.uint64(LINES) << np.uint64(LINES) | np.uint64(k)
+                found.append((name[begin].view(np.int64), mark.view(np.int64), begin))
+            if not found:
                 continue
-            doc, start = np.asarray(batch.column(0))[row], begin - at[row]
-            name, mark = least[inside].view(np.int64), whole[inside].view(np.int64)
+            name, mark, begin = map(np.concatenate, zip(*found, strict=True))
+            doc, start = np.asarray(batch.column(0))[row[begin]], begin - at[row[begin]]
             order, first = firsts((name, mark), doc, start)
             kept, gone = order[first], order[~first]
             yield tuples(SUFFIX, name[kept], mark[kept], doc[kept], start[kept])
             if len(gone):
-                yield joined(doc[gone], start[gone], np.full(len(gone), run))
+                yield joined(doc[gone], start[gone], lines_of(mark[gone]))
 
     return docs.mapInArrow(select, TUPLES)
 
 
-def extended(rows: DataFrame, run: int) -> DataFrame:
+def lines_of(mark: np.ndarray) -> np.ndarray:
+    return mark & ((1 << LINES) - 1)
+
+
+def extended(rows: DataFrame) -> DataFrame:
     """Positions joined by fingerprint, to REPEATs of whole runs, and to WINDOW tuples of flushed groups."""
 
     def settle(group: pa.Table, flushed: bool) -> Iterator[pa.RecordBatch]:
@@ -65,22 +86,22 @@ def extended(rows: DataFrame, run: int) -> DataFrame:
         order, first = firsts((name, mark), doc, start)
         gone, kept = order[~first], order[first]
         if len(gone):
-            yield joined(doc[gone], start[gone], np.full(len(gone), run))
+            yield joined(doc[gone], start[gone], lines_of(mark[gone]))
         if flushed:
             yield tuples(WINDOW, mark[kept], None, doc[kept], start[kept])
 
     return by_name(rows, settle, ["name", "mark", "doc", "start"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, gram: int = GRAM, texts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, gram: int = GRAM, texts: bool = False, words: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, n_runs, kept_sha256 (and the kept text if ``texts``)."""
     rows = ordered(id_and_text(docs, id_col, text_col))
-    first = staged(fingerprints(rows.select("doc", "text"), run, gram), "fingerprints")
-    second = staged(extended(first.where(F.col("kind") == SUFFIX), run), "runs")
+    first = staged(fingerprints(rows.select("doc", "text"), run, gram, words), "fingerprints")
+    second = staged(extended(first.where(F.col("kind") == SUFFIX)), "runs")
     found = first.union(second)
     large = second.where(F.col("kind") == WINDOW)
     if not large.isEmpty():
-        found = found.union(windows(large, run))
+        found = found.union(windows(large, lines_of))
     found = found.where(F.col("kind") == REPEAT).groupBy("doc").agg(F.collect_list(F.struct("start", "mark")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +127,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4_line_dedup, and runs of one and two lines go too if they have more than ``LONG`` words."""
+    return line_dedup(table(spark, sf_dir, "documents"), words=LONG)
+
+
 ORACLE = """
 WITH lines AS (
     SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')) AS line,

@@ -9,6 +9,7 @@ QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op4_line_dedup_long": line_dedup.op4_line_dedup_long,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,

@@ -291,15 +291,15 @@ def induced(rows: DataFrame, length: int) -> DataFrame:
     return by_name(rows, settle, ["name", "mark", "doc", "start", "bytes"])
 
 
-def windows(rows: DataFrame, length: int) -> DataFrame:
-    """Level 3: WINDOW tuples to REPEATs."""
+def windows(rows: DataFrame, length) -> DataFrame:
+    """Level 3: WINDOW tuples to REPEATs of ``length``, a number or a function of the names."""
 
     def settle(group: pa.Table, flushed: bool) -> Iterator[pa.RecordBatch]:
         name, doc, start = (group.column(c).to_numpy() for c in ("name", "doc", "start"))
         order, first = firsts((name,), doc, start)
         gone = order[~first]
         if len(gone):
-            yield joined(doc[gone], start[gone], np.full(len(gone), length))
+            yield joined(doc[gone], start[gone], length(name[gone]) if callable(length) else np.full(len(gone), length))
 
     return by_name(rows, settle, ["name", "doc", "start"])
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA
-from loomlog.llm import decontamination, packing, pii, secrets, suffix_dedup
+from loomlog.llm import decontamination, line_dedup, packing, pii, secrets, suffix_dedup
 from loomlog.llm.registry import ORACLES, QUERIES
 
 
@@ -117,6 +117,34 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch, group, names, busy
     assert got == brute_repeats(docs, 40)
 
 
+def brute_lines(docs, run, words):
+    lines = {d: [x for x in (docs[d] or "").split("\n") if x] for d in docs}
+    seen, gone = set(), {d: set() for d in docs}
+    for d in sorted(docs):
+        for s in range(len(lines[d])):
+            for k in range(1, run + 1):
+                part = tuple(lines[d][s : s + k])
+                if len(part) == k and (k == run or words is not None and len(re.findall(r"[^\x20\x09-\x0D]+", "\n".join(part))) > words):
+                    if part in seen:
+                        gone[d].update(range(s, s + k))
+                    seen.add(part)
+    return {d: (len(lines[d]), len(gone[d]), sum(k - 1 not in gone[d] for k in gone[d]), "\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d])) for d in docs}
+
+
+@pytest.mark.parametrize("group, words", [(100_000, 5), (100_000, None), (20, 5)])
+def test_line_dedup_matches_brute_force(spark, monkeypatch, group, words):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(6)
+    known = [" ".join(rng.choice(["a", "b", "é\t", " "]) for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    docs = {k: "\n".join(rng.choice(known) for _ in range(rng.randint(0, 6))) for k in range(80)}
+    docs |= {200: "one\nw w w w w w end\ntwo", 201: "three\nw w w w w w end\nfour", 202: "u u u\nv v v\nfive", 203: "six\nu u u\nv v v", 204: "short", 205: "short", 206: None}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    rows = line_dedup.line_dedup(df, words=words, texts=True).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_runs"], r["kept"]) for r in rows} == brute_lines(docs, 3, words)
+    removed = {r["doc_id"]: r["n_removed"] for r in rows}
+    assert [removed[d] for d in (201, 203, 205)] == ([1, 2, 0] if words else [0, 0, 0])
+
+
 def words_of(text):
     return re.findall(r"[^\W_]+", text.lower())
 
