@@ -43,6 +43,36 @@ def test_secrets_base_and_random_tokens(spark):
             assert r["spans"] == f"random:4:{4 + len(secret)}"
 
 
+ORDINARY = """SomeLongCamelCaseIdentifierName this_is_a_long_snake_case_name_2 MAX_NUMBER_OF_OPEN_CONNECTIONS getElementsByTagNameNS
+    Donaudampfschifffahrtsgesellschaft Rechtsschutzversicherungen anticonstitutionnellement electroencefalografista responsibilities-and-duties
+    usr/local/share/python/site-packages 2024-01-15-12-30-45-backup-file ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/
+    internationalization HTTPServerRequestHandlerFactory zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz 00000000000000000000 xyxyxyxyxyxyxyxyxyxyxyxy
+    test_secrets_base_and_random_tokens incomprehensibilities""".split()
+
+
+def test_secrets_recall_by_encoding_and_length(spark):
+    rng, texts, want = random.Random(8), [], []
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    forms = {"base32": (lower.upper() + "234567", (20, 24, 32)), "base36": (lower + "0123456789", (20, 32)), "letters": (lower, (24, 32)), "base64": (lower + lower.upper() + "0123456789+/", (20, 32, 44)), "HEX": ("0123456789ABCDEF", (24, 32)), "url": (lower + lower.upper() + "0123456789_-", (22, 43))}
+    for name, (letters, lengths) in forms.items():
+        for n in lengths:
+            for k in range(60):
+                token = "".join(rng.choice(letters) for _ in range(n))
+                around = ORDINARY[:19] if k % 2 else []
+                texts.append(" ".join([token, *around]))
+                want.append((name, n, f"random:0:{n}"))
+    rows = secrets.secrets(spark.createDataFrame([*enumerate(texts), (len(texts), " ".join(ORDINARY)), *((len(texts) + 1 + k, x) for k, x in enumerate(ORDINARY))], "doc_id long, text string")).collect()
+    found, wrong = {}, [r["spans"] for r in rows if r["doc_id"] >= len(texts) and r["spans"]]
+    for r in rows:
+        if r["doc_id"] < len(texts):
+            name, n, span = want[r["doc_id"]]
+            got = r["spans"].split(",")
+            found.setdefault((name, n), []).append(span in got)
+            wrong += [x for x in got if x and not x.split(":")[1] == "0"]
+    assert not wrong
+    assert {k: sum(v) for k, v in found.items() if sum(v) < 0.9 * len(v)} == {}
+
+
 PATTERNS = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
