@@ -3,7 +3,8 @@
 Base identifiers (email, ip, card, phone) are read from the text as it is. Then the text goes through transducers: every
 step maps a string with the source place of each of its characters to another such string. (1) homoglyphs: invisible
 characters vanish, compatibility forms and look-alike letters become ASCII; (2) spelled digits: runs of digit words
-become digits; (3) disguises: "at" and "dot", in brackets or as words between identifier parts, become signs.
+in English, French, German or Spanish become digits, "plus" before them a sign and "dot" between them a dot; (3) disguises:
+words for "at" and "dot", in brackets or as words between identifier parts, become signs.
 Identifiers of the normalised text are mapped back to source characters; those that meet no base span of their kind are
 added. Base spans always stay. Spans are in code points, end exclusive.
 
@@ -38,19 +39,35 @@ ASCII_DIGIT = re.compile(r"[0-9]")
 LOOKALIKES = "АВСЕНІЈКМОРЅТХУа\u0441еһіјорѕухΑΒΕΖΗΙΚΜΝΟΡΤΥΧοɡıԁԛԝ"
 LOOKED_LIKE = "ABCEHIJKMOPSTXYacehijopsyxABEZHIKMNOPTYXogidqw"
 SIGNS = {"․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "＠": "@", "﹫": "@"}
-DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-SPELLED = {w: str(k) for k, w in enumerate(DIGIT_WORDS)} | {"oh": "0"} | {c: c for c in "0123456789"}
-
-_word = "|".join((*DIGIT_WORDS, "oh"))
-SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_word}|[0-9]{{1,4}})(?:[\x20,-]{{1,2}}|(?![A-Za-z0-9]))){{4,}}", re.I)
-SPELLED_PART = re.compile(rf"({_word})|([0-9]+)|([\x20,-]+)", re.I)
-SPELLED_CUE = re.compile(rf"(?<![A-Za-z])(?:{_word})[\x20,-]", re.I)
-AT = r"(?:\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?|\x20at\x20|\x20?@\x20?)"
-DOT = r"(?:\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20|\.)"
+DIGIT_WORDS = (
+    "zero one two three four five six seven eight nine",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+SPELLED = {w: str(k) for words in DIGIT_WORDS for k, w in enumerate(words.split())} | {"oh": "0", "ein": "1", "zwo": "2", "fuenf": "5", "une": "1"}
+AT_WORDS = "at|arobase|arrobase|arroba|klammeraffe|ät"
+DOT_WORDS = "dot|point|punkt|punto"
+#: Endings that let a bare "at" before a dotted domain count.
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|app|dev|eu|uk|us|ca|au|de|at|ch|fr|be|lu|es|mx|ar|cl|pe|it|nl|pt|br|pl|se|no|dk|fi|ie|cz|ru|jp|cn|in|nz|za|example|test"
+
+_word = "|".join(sorted(SPELLED, key=len, reverse=True))
+_dots = rf"[\x20]{{0,3}}(?:[\[({{<]\x20?(?:{DOT_WORDS}|\.)\x20?[\])}}>]|\x20(?:{DOT_WORDS})\x20|\.)[\x20]{{0,3}}"
+_gap = rf"(?:{_dots}|[\x20,-]{{1,4}}|(?![^\W_]))"
+SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:plus[\x20,-]{{1,4}})?(?:(?:{_word}|[0-9]{{1,4}}){_gap}){{4,}}", re.I)
+SPELLED_PART = re.compile(rf"(plus)|({_word})|([0-9]+)|({_dots})|([\x20,-]+)", re.I)
+_break = rf"(?:{_dots}|[\x20,-]{{1,4}})"
+SPELLED_CUE = re.compile(rf"(?<![^\W_])(?:(?:{_word}){_break}(?:{_word}|[0-9])|[0-9]{{1,4}}{_break}(?:{_word})|plus\x20{{1,4}}[0-9])", re.I)
+SPOKEN_PLUS = re.compile(r"(?<![^\W_])plus\x20{1,4}(?=[0-9])", re.I)
+AT = rf"(?:\x20{{0,3}}[\[({{<]\x20{{0,3}}(?:{AT_WORDS}|@)\x20{{0,3}}[\])}}>]\x20{{0,3}}|\x20{{1,3}}(?:{AT_WORDS})\x20{{1,3}}|\x20{{0,3}}@\x20{{0,3}})"
+DOT = rf"(?:\x20{{0,3}}[\[({{<]\x20{{0,3}}(?:{DOT_WORDS}|\.)\x20{{0,3}}[\])}}>]\x20{{0,3}}|\x20{{1,3}}(?:{DOT_WORDS})\x20{{1,3}}|\.)"
 MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+){{0,3}})({AT})([A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+){{1,4}})", re.I)
 DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 ANY_AT, ANY_DOT = re.compile(AT, re.I), re.compile(DOT, re.I)
-DISGUISE_CUE = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20|\x20@|@\x20", re.I)
+SPOKEN = re.compile(rf"\x20+(?:{AT_WORDS})\x20+", re.I)
+SPOKEN_DOMAIN = re.compile(rf"[\[({{<]|\x20(?:{DOT_WORDS})\x20", re.I)
+PLAUSIBLE = re.compile(rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{ENDINGS})", re.I)
+DISGUISE_CUE = re.compile(rf"[\[({{<]\x20{{0,3}}(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\x20{{0,3}}[\])}}>]|\x20(?:{DOT_WORDS})\x20|\x20@|@\x20|\x20(?:{AT_WORDS})\x20{{1,3}}[a-z0-9.-]{{1,253}}\.(?:{ENDINGS})(?![a-z0-9])", re.I)
 
 
 @cache
@@ -131,20 +148,21 @@ def plain_digits(tape: Tape) -> Tape:
     edits = []
     for run in SPELLED_RUN.finditer(tape[0]):
         parts = list(SPELLED_PART.finditer(run.group()))
-        if not any(p.group(1) for p in parts):
+        if not any(p.group(2) for p in parts):
             continue
-        while parts and parts[-1].group(3):
+        while parts and (parts[-1].group(4) or parts[-1].group(5)):
             parts.pop()
         for p in parts:
-            edits.append((run.start() + p.start(), run.start() + p.end(), SPELLED[p.group(1).lower()] if p.group(1) else p.group(2) or ""))
-    return rewrite(tape, edits)
+            instead = "+" if p.group(1) else SPELLED[p.group(2).lower().replace("\u0307", "")] if p.group(2) else p.group(3) or ("." if p.group(4) else "")
+            edits.append((run.start() + p.start(), run.start() + p.end(), instead))
+    tape = rewrite(tape, edits)
+    return rewrite(tape, [(*m.span(), "+") for m in SPOKEN_PLUS.finditer(tape[0])])
 
 
 def plain_signs(tape: Tape) -> Tape:
     text, edits = tape[0], []
     for m in MAIL.finditer(text):
-        spoken = ANY_AT.fullmatch(m.group(2)) and m.group(2) == " at "
-        if spoken and not re.search(r"dot|[\[({<]", m.group(3), re.I):  # "at" alone is a word
+        if SPOKEN.fullmatch(m.group(2)) and not SPOKEN_DOMAIN.search(m.group(3)) and not PLAUSIBLE.fullmatch(m.group(3)):  # "at" alone is a word
             continue
         for part, sign, pattern in ((1, ".", ANY_DOT), (2, "@", ANY_AT), (3, ".", ANY_DOT)):
             edits += [(m.start(part) + d.start(), m.start(part) + d.end(), sign) for d in pattern.finditer(m.group(part))]

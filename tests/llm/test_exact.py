@@ -107,6 +107,33 @@ def test_pii_disguises_map_back(text, found, kind):
     assert [(text[a:b], k) for a, b, k in pii.spans(text)[1]] == [(found, kind)]
 
 
+@pytest.mark.parametrize(
+    "text, found, kind",
+    [
+        ("tel plus null vier neun acht sieben sechs fünf vier drei zwei eins ja", "plus null vier neun acht sieben sechs fünf vier drei zwei eins", 3),
+        ("tel plus un deux trois quatre cinq six sept huit neuf zéro ici", "plus un deux trois quatre cinq six sept huit neuf zéro", 3),
+        ("tel plus uno dos tres cuatro cinco seis siete ocho nueve cero si", "plus uno dos tres cuatro cinco seis siete ocho nueve cero", 3),
+        ("call plus one five five five one two three four five six seven now", "plus one five five five one two three four five six seven", 3),
+        ("call plus 1 555 123 4567 now", "plus 1 555 123 4567", 3),
+        ("host one nine two dot one six eight dot one dot one up", "one nine two dot one six eight dot one dot one", 1),
+        ("hôte un neuf deux point un six huit point un point un ici", "un neuf deux point un six huit point un point un", 1),
+        ("write john at example.com please", "john at example.com", 0),
+        ("write  john  at  example  dot  com  please", "john  at  example  dot  com", 0),
+        ("call +1 five fİve five one two three four five sİx seven now", "+1 five fİve five one two three four five sİx seven", 3),
+        ("juan arroba ejemplo punto es", "juan arroba ejemplo punto es", 0),
+        ("hans [ät] beispiel punkt de heute", "hans [ät] beispiel punkt de", 0),
+        ("jean arobase exemple point fr merci", "jean arobase exemple point fr", 0),
+    ],
+)
+def test_pii_disguises_of_four_languages(text, found, kind):
+    assert [(text[a:b], k) for a, b, k in pii.spans(text)[1]] == [(found, kind)]
+
+
+def test_pii_words_of_four_languages_stay():
+    for text in ("look at this.that", "we met at noon.Then left", "un point de vue", "null Punkt acht", "uno dos tres cuatro cinco", "two plus two is four", "plus 5 degrees", "version one point two"):
+        assert pii.spans(text) == ([], [])
+
+
 def test_pii_leaves_words_alone():
     assert all(pii.ODD.match(chr(k)) for k in pii.homoglyphs())
     for text in ("look at this. dot it", "one two three four five", "meet at ten dot", "élan à côté"):
