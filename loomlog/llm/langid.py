@@ -31,6 +31,9 @@ TRAIN_DOCS = 20_000
 SMOOTHING = 0.5
 MATRIX_BYTES = 256 << 20
 UNKNOWN = "und"
+#: accepted() wants a mean log-likelihood per n-gram of at least this quantile of the learned documents, less so many nats
+#: for clean documents that are unlike most, less NOISE / sqrt(n-grams) for short ones.
+FIT_QUANTILE, FIT_SLACK, NOISE = 0.01, 1.5, 4.0
 
 
 @cache
@@ -95,12 +98,17 @@ def counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(doc_id, lang, text) to languages, log-probabilities (BUCKETS + 1 x languages) and log-priors."""
-    labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
+def bounded(labelled: DataFrame, train_docs: int) -> DataFrame:
     there = labelled.count()
     if there > train_docs:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < int((1 << 30) * train_docs / there))
+    return labelled
+
+
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(doc_id, lang, text) to languages, log-probabilities (BUCKETS + 1 x languages) and log-priors."""
+    labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
+    labelled = bounded(labelled, train_docs)
     found = counts(labelled.select("lang", "text")).toPandas()
     langs = sorted(found["lang"].unique())
     if BUCKETS * len(langs) * 4 > MATRIX_BYTES:
@@ -124,15 +132,21 @@ class Scorer:
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Names and posteriors."""
+        return self.fitting(column)[:2]
+
+    def fitting(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names, posteriors, and the mean log-likelihood per n-gram in the told language plus NOISE / sqrt(n-grams)."""
         buckets, at, n_letters = grams(column)
         if not self.langs:
-            return np.full(len(at) - 1, UNKNOWN, dtype=object), np.zeros(len(at) - 1)
+            return np.full(len(at) - 1, UNKNOWN, dtype=object), np.zeros(len(at) - 1), np.full(len(at) - 1, -np.inf)
         told = np.tile(self.prior, (len(at) - 1, 1))
         for j, logs in enumerate(self.by_lang):
             told[:, j] += sum(sums(logs[bucket], at) for bucket in buckets)
         known = n_letters > 0
         top = 1 / np.exp(told - told.max(1, keepdims=True)).sum(1) if len(told) else np.zeros(0)
-        return np.where(known, np.array(self.langs, dtype=object)[told.argmax(1)], UNKNOWN), np.where(known, top, 0.0)
+        best, n = told.argmax(1), np.maximum(1, sum(sums((bucket != BUCKETS).astype(np.float32), at) for bucket in buckets))
+        own = (told[np.arange(len(told)), best] - self.prior[best]) / n + NOISE / np.sqrt(n)
+        return np.where(known, np.array(self.langs, dtype=object)[best], UNKNOWN), np.where(known, top, 0.0), np.where(known, own, -np.inf)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
@@ -159,16 +173,32 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def fits_from(learned: DataFrame, shared) -> float:
+    """The least fit of a document in a learned language, from those learned (doc_id, lang, text)."""
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in chunks(batches, 0):
+            own = scorer.fitting(batch.column(0))[2]
+            yield pa.RecordBatch.from_arrays([pa.array(own[np.isfinite(own)])], ["fit"])
+
+    found = learned.select("text").mapInArrow(fits, "fit double").agg(F.percentile_approx("fit", FIT_QUANTILE)).first()[0]
+    return -np.inf if found is None else found - FIT_SLACK
+
+
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text has a language that the model tells with ``least`` posterior."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(train_rows(docs, id_col, text_col, lang_col)))
+    """The rows of ``docs``, all columns kept, whose text has a language that the model tells with ``least`` posterior and
+    fits that language about as well as the documents learned from; other languages and letter junk go."""
+    learned = train_rows(docs, id_col, text_col, lang_col).where("lang is not null and text is not null and doc_id is not null")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(learned))
+    floor = fits_from(bounded(learned, TRAIN_DOCS), shared)
     place = docs.columns.index(text_col)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             own = pa.RecordBatch.from_arrays([batch.column(place).fill_null("")], ["t"])
-            kept = [top >= least for part in chunks(iter([own]), 0) for top in scorer(part.column(0))[1]]
+            kept = [t >= least and f >= floor for part in chunks(iter([own]), 0) for t, f in zip(*scorer.fitting(part.column(0))[1:], strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(sift, docs.schema)

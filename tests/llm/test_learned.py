@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from conftest import DATA
-from loomlog.llm import neardup
+from loomlog.llm import langid, neardup
 from loomlog.llm.components import components
 from loomlog.llm.registry import QUERIES
 
@@ -19,6 +19,16 @@ def test_language_id_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_accepted_rejects_foreign_text_and_junk(spark):
+    rng = random.Random(9)
+    foreign = ["Это обычный русский текст о погоде и о природе в нашей стране", "这是一个关于天气和自然的普通中文文本我们喜欢它", "Wczoraj poszliśmy na spacer do lasu i znaleźliśmy dużo grzybów"]
+    foreign += ["x" * 500, "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(300))]
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**9 + k, x, None) for k, x in enumerate(foreign)], docs.schema)
+    told = {r["doc_id"] for r in langid.language_id(docs).where("score >= 0.5").collect()}
+    assert {r["doc_id"] for r in langid.accepted(docs.union(more)).collect()} == told
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{LARGER}/labels.parquet")
     rows = QUERIES["op7_toxicity"](spark, LARGER).join(labels, "doc_id").where("held_out").collect()
