@@ -1,10 +1,10 @@
-"""Removal of repeated runs of lines by winnowing.
+"""Removal of repeated runs of lines by hashed line shingles.
 
-Lines (runs of characters other than the line end) are hashed; in each window of consecutive ``RUN - GRAM + 1`` hashes
-of ``GRAM`` lines the least is selected, so each run of ``RUN`` lines holds a selected fingerprint at a place that the
-run alone decides. Positions are joined by fingerprint in an external sort, matches are extended both ways to whole runs
-(a run's hash), and every run that also starts earlier goes. Map tasks settle the repeats of their own chunk first; very
-large fingerprint groups are flushed and settled by a second sort, by runs.
+Lines (runs of characters other than the line end) are hashed; each run of ``RUN`` lines is sent under the least of its
+``RUN - GRAM + 1`` hashes of ``GRAM`` lines, with the run's own hash. All runs are sent, so unlike in winnowing nothing is
+selected and no match is extended. Positions are joined by that name in an external sort, and every run that also starts
+earlier goes. Map tasks settle the repeats of their own chunk first; very large groups are flushed and settled by a second
+sort, by runs.
 
 With ``words``, shorter runs of more than that many words (blank-separated, in 1 to ``RUN - 1`` lines) count as well: they
 are sent whole, under their own hash, and their number of lines travels in the low bits of the mark.
