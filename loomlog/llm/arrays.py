@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20  # numpy temporaries take up to some 60 bytes a byte of text
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

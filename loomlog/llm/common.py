@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Holds the Arrow batches that this session sends to Python to ``ARROW_BYTES`` (10,000 long texts are far more)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (now := re.fullmatch(r"(\d+)b?", spark.conf.get(name))) is None or int(now[1]) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a single-machine session
+    (tests) gets an own one; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="loomlog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,13 +50,22 @@ def _remove(spark: SparkSession, path: str) -> None:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
 
-    The files go when the driver process ends; a lazily read result may need them until then.
+    The files go with freed() or when the driver process ends; a lazily read result may need them until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomlog-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Removes the files of staged tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            _remove(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -54,4 +78,5 @@ def text_of(column: str) -> Column:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only what an operator needs, under fixed names, so other columns of ``docs`` cannot clash."""
+    lean(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))

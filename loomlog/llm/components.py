@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import staged
+from loomlog.llm.common import freed, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,8 +27,14 @@ def _settled(edges: DataFrame) -> bool:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) to (node, component): each linked node but the least of its component, with that least node."""
-    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """(a, b) to (node, component): each linked node but the least of its component, with that least node.
+
+    Cases: links of a node with itself and repeated links say nothing; null ends are left out; no links give no rows.
+    """
+    edges = links.where("a is not null and b is not null and a <> b")
+    edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _settled(edges):
-        edges = staged(_stars(_stars(edges, True), False), "edges")
+        before, half = edges, staged(_stars(edges, True), "stars")
+        edges = staged(_stars(half, False), "edges")
+        freed(before, half)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

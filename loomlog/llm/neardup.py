@@ -6,18 +6,20 @@ registers are about as likely as the sets are similar. Documents with equal sets
 only its representative goes on. Bands of registers are bucket keys; rows and bands are chosen so that a pair at the
 threshold is missed with probability ``MISS`` at most. Pairs are then found without ever listing a bucket's pairs:
 
-1. each member of a bucket meets the bucket's leader (a different one in each band); the leader met most often is
-   checked on full sets, and verified links are joined into components;
+1. rounds of leaders: each member outside its bucket's largest component meets a random member of that component, another
+   one in each bucket and round; the one met most often is checked on full sets, and links are joined into components.
+   Rounds go on while they link a tenth of those that asked, ``ROUNDS`` at most; what they miss is left to step 2;
 2. where a bucket still has several components, the members outside its largest one are queries against its other
-   members, in blocks; the joint likelihood of both register vectors and set sizes estimates the similarity, and all
-   pairs of different components with an estimate near the threshold are checked on full sets. Buckets of more than
-   ``HOT`` members bring their sets along and are checked within the block, best estimates first, until a query is
-   linked with a component: no pair leaves the task but links. Pairs within a component need no check.
+   members. The joint likelihood of both register vectors and set sizes estimates the similarity, and pairs of different
+   components with an estimate near the threshold are checked on full sets. Buckets of up to ``SMALL`` members list these
+   pairs. In larger ones first only registers are compared, in blocks; members with a near partner then meet once more
+   with their sets, and a block returns a spanning forest of its links: at most one link less than it has components.
 
-So every pair that shares a band and whose estimate lies within ``MARGIN`` is either linked already or was compared.
+So every pair that shares a band and whose estimate lies within ``MARGIN`` is either in one component or was compared.
+Sets are of 64-bit shingle hashes, so "full sets" are equal up to collisions of these.
 
 Cases: null, empty and blank texts have no set and are linked with nothing; texts of fewer words than a shingle are one
-shingle; rows with one identifier are one node; rows without identifier stay alone (component null, kept); an empty
+shingle; rows with one identifier are one node, with the least of their texts; rows without identifier stay alone (component null, kept); an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm.arrays import chunks, mix
-from loomlog.llm.common import id_and_text, staged, table
+from loomlog.llm.common import freed, id_and_text, staged, table
 from loomlog.llm.components import components
 from loomlog.llm.exact_dedup import runs_for, tree_merge
 from loomlog.llm.shingles import sets
@@ -41,9 +43,10 @@ B = 1.02
 TOP = 2400  # registers are truncated to 0 .. TOP
 MISS = 1e-6
 MOST_REGISTERS = 128
-MARGIN = 0.12
-BLOCK = 256
-HOT = 64
+MARGIN = 0.16
+BLOCK, BLOCK_BYTES = 2048, 16 << 20  # members of a block, and bytes of their sets and registers
+SMALL = 16  # members of a bucket whose pairs are listed
+ROUNDS, GAIN = 5, 0.1
 EQUAL_AT_LEAST = 0.5  # equal registers, below which no likelihood is worked out
 
 
@@ -130,14 +133,12 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(hold, "a long, b long")
 
 
-def near_pairs(group: pa.Table, rows: int, number: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of whole groups (members first in each) the pairs of queries and members whose estimate is near the threshold; where
-    the sets came along, only links, at most one of a query and a component.
+def near_pairs(group: pa.Table, rows: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (query, member, estimate) of whole groups (members first in each) whose estimate is near the threshold.
 
     A pair that shares several bands counts in the first one only.
     """
-    least = percent / 100 - MARGIN
-    key, block, asked, ids, comps, sizes, band = (group.column(c).to_numpy() for c in ("key", "block", "asked", "id", "component", "n", "band"))
+    key, block, asked, comps, sizes, band, least = (group.column(c).to_numpy() for c in ("key", "block", "asked", "component", "n", "band", "least"))
     query = group.column("query").to_numpy(zero_copy_only=False)
     change = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (asked[1:] != asked[:-1])
     starts = np.concatenate([[0], np.flatnonzero(change) + 1])
@@ -145,7 +146,7 @@ def near_pairs(group: pa.Table, rows: int, number: int, percent: int) -> tuple[n
     members = np.add.reduceat(~query, starts)
     regs = np.stack([np.frombuffer(x, np.uint16) for x in group.column("registers").to_pylist()]).astype(np.int16)
     asking = np.flatnonzero(query & (members[of] > 0))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     ends = np.cumsum(members[of[asking]])
     first = 0
     while first < len(asking):  # some 20,000 pairs at a time
@@ -153,36 +154,44 @@ def near_pairs(group: pa.Table, rows: int, number: int, percent: int) -> tuple[n
         some, n = asking[first:last], members[of[asking[first:last]]]
         x = np.repeat(some, n)
         y = np.repeat(starts[of[some]], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-        fit = (comps[x] != comps[y]) & (np.minimum(sizes[x], sizes[y]) >= least * np.maximum(sizes[x], sizes[y]))
+        fit = (comps[x] != comps[y]) & (np.minimum(sizes[x], sizes[y]) >= least[x] * np.maximum(sizes[x], sizes[y]))
         x, y = x[fit], y[fit]
         diff = regs[x] - regs[y]
         equal = diff == 0
         fit = (equal.sum(1) >= EQUAL_AT_LEAST * diff.shape[1]) & (equal.reshape(len(x), number, rows).all(2).argmax(1) == band[x])
         x, y, diff = x[fit], y[fit], diff[fit]
         told = likeliest((diff > 0).sum(1), (diff < 0).sum(1), diff.shape[1], sizes[x].astype(float), sizes[y].astype(float))
-        fit = told >= least
+        fit = told >= least[x]
         out.append((x[fit], y[fit], told[fit]))
         first = last
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x, y, told = (np.concatenate(c) for c in zip(*out, strict=True))
-    if "set" in group.column_names:
-        order = np.lexsort((ids[y], -told, comps[y], x))
-        kept, done, full, held = [], None, group.column("set"), {}
-        for k in order.tolist():
-            a, b = int(x[k]), int(y[k])
-            if done == (a, comps[b]):
-                continue
-            for row in (a, b):
-                if row not in held:
-                    if len(held) > 4 * BLOCK:
-                        held.clear()
-                    held[row] = np.frombuffer(full[row].as_py(), np.uint64)
-            if similar(held[a] if a in held else np.frombuffer(full[a].as_py(), np.uint64), held[b], percent):
-                kept.append(k)
-                done = (a, comps[b])
-        x, y = x[kept], y[kept]
-    return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def forest(group: pa.Table, x: np.ndarray, y: np.ndarray, told: np.ndarray, percent: int) -> list[int]:
+    """Which of the pairs, best estimates first, are similar on full sets and link two components not linked so far."""
+    comps, full = group.column("component").to_numpy(), group.column("set")
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
+    kept, held = [], {}
+    for k in np.lexsort((y, x, -told)).tolist():
+        a, b = root(int(comps[x[k]])), root(int(comps[y[k]]))
+        if a == b:
+            continue
+        both = []
+        for row in (int(x[k]), int(y[k])):
+            if row not in held:
+                held[row] = np.frombuffer(full[row].as_buffer(), np.uint64)  # a view
+            both.append(held[row])
+        if similar(*both, percent):
+            parent[a] = b
+            kept.append(k)
+    return kept
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -190,16 +199,26 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return n > 0 and 100 * n >= percent * (len(x) + len(y) - n)
 
 
-def residual(mixed: DataFrame, rows: int, number: int, percent: int) -> DataFrame:
-    """(key, block, asked, query, id, component, n, band, registers and perhaps set) to pairs, or links where sets came."""
-    group = ["key", "block", "asked"]
+def residual(mixed: DataFrame, rows: int, number: int, percent: int, what: str) -> DataFrame:
+    """Rows dealt by (key, block, asked) to ``what``: the pairs (a, b) near the threshold; marks (key, a) of their members; or,
+    where sets came along, a spanning forest of links (a, b)."""
+    group, schema = ["key", "block", "asked"], "key long, a long" if what == "marks" else "a long, b long"
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: list[pa.RecordBatch] = []
 
         def settled() -> pa.RecordBatch:
-            a, b = near_pairs(pa.Table.from_batches(carried).combine_chunks(), rows, number, percent)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            whole = pa.Table.from_batches(carried).combine_chunks()
+            x, y, told = near_pairs(whole, rows, number)
+            ids = whole.column("id").to_numpy()
+            if what == "marks":
+                both = np.unique(np.concatenate([x, y]))
+                key, ids = whole.column("key").to_numpy()[both], ids[both]
+                return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ids, pa.int64())], ["key", "a"])
+            if what == "links":
+                kept = forest(whole, x, y, told, percent)
+                x, y = x[kept], y[kept]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y]), pa.int64()), pa.array(np.maximum(ids[x], ids[y]), pa.int64())], ["a", "b"])
 
         for whole in batches:
             for batch in (whole.slice(k, 2_000) for k in range(0, len(whole), 2_000)):
@@ -217,9 +236,25 @@ def residual(mixed: DataFrame, rows: int, number: int, percent: int) -> DataFram
         if carried:
             yield settled()
 
-    sent = [*group, "query", "id", "component", "n", "band", "registers", *(c for c in mixed.columns if c == "set")]
-    dealt = mixed.select(*sent).repartition(*group)
-    return dealt.sortWithinPartitions(*group, "query").mapInArrow(close, "a long, b long").distinct()
+    sent = [*group, "query", "id", "component", "n", "band", "least", "registers", *(["set"] if what == "links" else [])]
+    dealt = mixed.withColumn("least", F.lit(percent / 100 - MARGIN)).select(*sent).repartition(*group)
+    return dealt.sortWithinPartitions(*group, "query").mapInArrow(close, schema).distinct()
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Members of open buckets (key, component, n and more) to their blocks: each as a member, those outside the bucket's
+    largest component as queries too. Counts are of ``rows``, so buckets that shrank need fewer blocks."""
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") * 8 + 300).alias("size"))
+    largest = F.max_by(F.struct("component", "c", "size"), F.struct("c", "component"))
+    main = sizes.groupBy("key").agg(largest.alias("main"), F.sum("c").alias("all"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    upto = lambda c, size: F.ceil(F.greatest(c / BLOCK, size / BLOCK_BYTES, F.lit(1e-9))).cast("int")
+    main = main.select("key", "main.component", upto(F.col("all"), F.col("size")).alias("blocks"), upto(F.col("all") - F.col("main.c"), F.col("size") - F.col("main.size")).alias("asking")).withColumnRenamed("component", "main")
+    met = rows.join(main, "key")
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    there = met.select(*rows.columns, F.lit(False).alias("query"), place(F.col("blocks")).alias("block"), each(F.col("asking")).alias("asked"))
+    asked = met.where("component <> main").select(*rows.columns, F.lit(True).alias("query"), each(F.col("blocks")).alias("block"), place(F.col("asking")).alias("asked"))
+    return there.unionByName(asked)
 
 
 def with_sets(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -243,47 +278,103 @@ def classes(drawn: DataFrame) -> DataFrame:
     return entries.join(tree_merge(entries, runs, "min"), ["digest", "check", "n_bytes", "run"]).select("doc_id", F.col("keep_id").alias("rep"))
 
 
+def leaders(shared: DataFrame, label: DataFrame | None, turn: int) -> DataFrame:
+    """(key, band, id) and (id, component) to open members (key, band, id, component, main, leader, all): the bucket has
+    several components, and the leader is a random member of the largest one."""
+    if label is None:
+        labelled = shared.withColumn("component", F.col("id"))
+    else:
+        labelled = shared.join(label, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    any_ = F.struct(F.xxhash64("key", "id", F.lit(turn)), "id")
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(any_)["id"].alias("leader"))
+    largest = F.max_by(F.struct("component", "leader"), F.struct("n", F.xxhash64("key", "component", F.lit(turn))))
+    main = sizes.groupBy("key").agg(largest.alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = main.select("key", F.col("main.component").alias("main"), "main.leader", "all")
+    return labelled.join(main, "key")
+
+
+def estimated(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """(a, b) to those whose estimate is near the threshold."""
+    least = percent / 100 - MARGIN
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.stack([np.frombuffer(r, np.uint16) for r in batch.column(c).to_pylist()]).astype(np.int16) for c in (2, 3)) if len(batch) else (np.zeros((0, 1), np.int16),) * 2
+            n, m = (np.asarray(batch.column(c)).astype(float) for c in (4, 5))
+            told = likeliest((x > y).sum(1), (x < y).sum(1), x.shape[1], n, m)
+            near = (told >= least) & ((x == y).sum(1) >= EQUAL_AT_LEAST * x.shape[1])
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    left = sketched.select(F.col("id").alias("a"), F.col("registers").alias("x"), F.col("n").alias("n"))
+    right = sketched.select(F.col("id").alias("b"), F.col("registers").alias("y"), F.col("n").alias("m"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(sift, "a long, b long")
+
+
+def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after new links; the components are worked out over components."""
+    if label is None:
+        return components(links).withColumnRenamed("node", "id")
+
+    def lifted(rows: DataFrame, side: str) -> DataFrame:
+        known = label.select(F.col("id").alias(side), F.col("component").alias("up"))
+        return rows.join(known, side, "left").withColumn(side, F.coalesce("up", side)).select("a", "b")
+
+    both = lifted(lifted(links, "a"), "b")
+    found = components(both)
+    moved = label.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    fresh = found.select(F.col("node").alias("id"), "component").join(label.select("id"), "id", "left_anti")
+    return staged(moved.union(fresh), "labels")
+
+
 def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) to (doc_id, n_shingles) and to (node, component) over all documents linked with a smaller one."""
     rows, number = bands(percent)
     drawn = staged(sketch(docs, k, rows, number), "sketch")
     known = drawn.where("doc_id is not null")
+    if not known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").isEmpty():
+        docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+        known = staged(sketch(docs, k, rows, number), "sketch")
     members = staged(classes(known), "classes").distinct()
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = members.where("doc_id = rep").select("doc_id")
     own = known.where("n_shingles > 0").join(reps, "doc_id", "left_semi")
     met = staged(own.select(F.posexplode("keys").alias("band", "key"), F.col("doc_id").alias("id")).distinct(), "bands")
-    order = F.struct(F.xxhash64("key", "id"), "id")
-    leaders = staged(met.groupBy("key").agg(F.min(order)["id"].alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "leaders")
-    shared = staged(met.join(leaders, "key"), "buckets")
-    votes = shared.where("id <> leader").groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), "id").count()
-    first = staged(votes.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
-    candidates = shared.select(F.col("id").alias("doc_id")).distinct()
-    texts = staged(docs.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = staged(verified(first, texts, k, percent), "links")
-    found = components(links)
-    labelled = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    labelled = staged(labelled, "labelled")
-    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = staged(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).where("parts > 1"), "main")
-    sketched = drawn.select(F.col("doc_id").alias("id"), "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
-    full = staged(labelled.join(main, "key").join(sketched, "id"), "mixed")
-    blocks, asking = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
-    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        columns = [c for c in rows.columns if c in ("key", "band", "id", "component", "n", "registers", "set")]
-        there = rows.select(*columns, F.lit(False).alias("query"), place(blocks).alias("block"), upto(asking).alias("asked"))
-        asked = rows.where("component <> main").select(*columns, F.lit(True).alias("query"), upto(blocks).alias("block"), place(asking).alias("asked"))
-        return there.unionByName(asked)
-
-    small = staged(residual(dealt(full.where(F.col("all") <= HOT)), rows, number, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    large = full.where(F.col("all") > HOT)
-    links = links.union(staged(verified(small, texts, k, percent), "links"))
+    shared = staged(met.join(met.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "buckets")
+    freed(met)
+    sketched = known.select(F.col("doc_id").alias("id"), "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
+    sketched = staged(sketched.join(shared.select("id").distinct(), "id", "left_semi"), "sketched")
+    texts = docs.join(sketched.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = staged(texts, "texts")
+    label, tried, turn = None, None, 0
+    while True:
+        open_ = staged(leaders(shared, label, turn), "open")
+        asking = open_.where("component <> main").select("id", "leader")
+        pair = asking.groupBy("id", "leader").count().select("id", "leader", "count", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+        if tried is not None:
+            pair = pair.join(tried, ["a", "b"], "left_anti")
+        asked = staged(pair.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+        links = staged(verified(staged(estimated(asked, sketched, percent), "near"), texts, k, percent), "links")
+        n_asked, n_linked = asked.count(), links.count()
+        if n_linked:
+            label = merged(label, links)
+        tried, turn = asked if tried is None else tried.union(asked), turn + 1
+        if turn >= ROUNDS or n_linked < GAIN * n_asked or not n_asked:
+            break
+        freed(open_)
+    labelled = staged(leaders(shared, label, turn), "open")
+    full = staged(labelled.join(sketched, "id").select("key", "band", "id", "component", "n", "registers", "all"), "mixed")
+    freed(open_, labelled)
+    small = staged(residual(dealt(full.where(F.col("all") <= SMALL)), rows, number, percent, "pairs").join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = staged(verified(small, texts, k, percent), "links")
+    large = full.where(F.col("all") > SMALL)
     if not large.isEmpty():
-        links = links.union(staged(residual(dealt(with_sets(large, texts, k)), rows, number, percent), "links"))
-    return drawn.select("doc_id", "n_shingles"), components(links.union(same))
+        marks = staged(residual(dealt(large), rows, number, percent, "marks"), "marks")
+        near = large.join(marks.withColumnRenamed("a", "id"), ["key", "id"], "left_semi")
+        links = links.union(staged(residual(dealt(with_sets(near, texts, k)), rows, number, percent, "links"), "links"))
+    label = merged(label, links)
+    # Of equal sets each follows its representative.
+    follow = same.join(label.withColumnRenamed("id", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
+    return drawn.select("doc_id", "n_shingles"), follow.union(label).withColumnsRenamed({"a": "node", "b": "component"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from loomlog.llm.arrays import flat, mix
+from loomlog.llm.arrays import CHUNK_BYTES, flat, mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -24,9 +24,13 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64, for i < n."""
     if not _powers or len(_powers[0]) < n:
+        n = max(n, CHUNK_BYTES + 1)
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b)]), dtype=np.uint64) for b in (BASE, inverse)]
-    return _powers[0], _powers[1]
+    own = _powers[0], _powers[1]
+    if n > 2 * CHUNK_BYTES:  # for a single very long word or text; not kept
+        _powers.clear()
+    return own
 
 
 #: Bytes that words are made of: all but blanks; letters and digits (and what isn't ASCII); all but line ends.
@@ -35,12 +39,31 @@ ALPHANUMERIC = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 IN_LINE = np.array([b != 10 for b in range(256)])
 
 
-def words(column: pa.Array, ink: np.ndarray = VISIBLE, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(column: pa.Array, ink: np.ndarray = VISIBLE, fold: bool = True, most: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words, runs of ``ink`` bytes, A-Z in lower case if ``fold``; where each row's words begin (one more
-    for the end); the byte in the column at which each word begins."""
+    for the end); the byte in the column at which each word begins.
+
+    Long texts are read in parts of ``most`` bytes, cut between words, so memory follows the words and not the bytes."""
     data, at = flat(column)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int64)
+    hashes, begins, a = [], [], 0
+    while a < len(data):
+        b = min(a + most, len(data))
+        while b < len(data) and not len(gaps := np.flatnonzero(~ink[data[a:b]])):  # a word longer than a part stays whole
+            b = min(b + most, len(data))
+        if b < len(data):
+            b = a + int(gaps[-1]) + 1
+        low, high = np.searchsorted(at, (a, b), "right")
+        h, start = _words(data[a:b], np.concatenate([[0], at[low:high] - a, [b - a]]), ink, fold)
+        hashes.append(h)
+        begins.append(start + a)
+        a = b
+    starts = np.concatenate(begins)
+    return np.concatenate(hashes), np.searchsorted(starts, at), starts
+
+
+def _words(data: np.ndarray, at: np.ndarray, ink: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32) if fold else data
     ink = ink[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -51,8 +74,9 @@ def words(column: pa.Array, ink: np.ndarray = VISIBLE, fold: bool = True) -> tup
     last[:-1] &= ~ink[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_constants()[0][low] * up[: len(low)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, at), starts
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_constants()[0][low] * up[: len(low)], dtype=np.uint64, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

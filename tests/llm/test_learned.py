@@ -61,10 +61,11 @@ def brute_components(docs, k, percent):
     return {d: root(d) for d in docs}, {d: len(s) for d, s in found.items()}
 
 
-@pytest.mark.parametrize("k, percent, hot", [(3, 85, 64), (5, 80, 64), (3, 85, 3)])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent, hot):
-    monkeypatch.setattr(neardup, "HOT", hot)
-    monkeypatch.setattr(neardup, "BLOCK", 256 if hot > 3 else 4)
+@pytest.mark.parametrize("k, percent, small, rounds", [(3, 85, 16, 5), (5, 80, 16, 5), (3, 85, 2, 1)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent, small, rounds):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "BLOCK", 2048 if small > 3 else 4)
     rng = random.Random(k)
     vocabulary = [f"w{i}" for i in range(300)]
     docs = {}
@@ -83,6 +84,46 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent, hot):
     assert all(r["n_shingles"] == sizes[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def family(n, edits, seed=11):
+    """Texts whose pairs lie just above and below 0.85."""
+    rng = random.Random(seed)
+    base, docs = [f"w{rng.randrange(5000)}" for _ in range(200)], {}
+    for d in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(edits - 2, edits + 2)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        docs[d] = " ".join(copy)
+    return docs
+
+
+def test_links_of_a_family_near_the_threshold_grow_with_its_members(spark, monkeypatch):
+    rows, kept = {}, neardup.residual
+
+    def counted(mixed, *rest):
+        out = kept(mixed, *rest)
+        if rest[-1] != "marks":
+            rows[size] = rows.get(size, 0) + out.count()
+            rows["dealt", size] = rows.get(("dealt", size), 0) + mixed.count()
+        return out
+
+    monkeypatch.setattr(neardup, "residual", counted)
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    for size in (300, 600):
+        docs = family(size, 6)
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, k=3, percent=85).collect()}
+        assert got == brute_components(docs, 3, 85)[0]
+    print(rows)
+    assert rows.get(600, 0) <= 3 * rows.get(300, 0) + 600 and rows.get(("dealt", 600), 0) <= 48 * 600
+
+
+def test_near_duplicates_recall_on_the_documents(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text").collect()}
+    want, _ = brute_components(docs, 3, 85)
+    got = {r["doc_id"]: r["component_id"] for r in QUERIES["op5_near_duplicates"](spark, LARGER).collect()}
+    assert got == want
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(5, 5)]
     got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -112,3 +153,30 @@ def test_pipeline_stages(spark):
     assert len(kept) > 0.7 * len(before)
     pieces = p.STAGES[-1][1](spark, docs, DATA).collect()
     assert {r["doc_id"] for r in pieces} == set(kept)
+
+
+def test_pipeline_stages_judge_rows(spark):
+    import corpus_pipeline as p
+
+    names = "doc_id long, text string, lang string, _gone long, row_key int, kept boolean, gone_key string"
+    rows = [(1, "aaa b"), (5, "aaa b"), (5, "only copy of this text"), (None, "n n"), (None, "n n"), (7, "twice"), (7, "twice"), (8, None), (9, ""), (None, "lone")]
+    docs = spark.createDataFrame([(*r, "en", 1, 2, True, "g") for r in rows], names)
+    want = [(1, "aaa b"), (5, "only copy of this text"), (7, "twice"), (8, None), (None, "lone"), (None, "n n")]
+    key = lambda r: (str(r[0]), str(r[1]))
+    found = p.exact(spark, docs, DATA)
+    assert found.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=key) == sorted(want, key=key)
+    want.append((9, ""))  # texts without words are near to nothing
+    assert sorted(((r["doc_id"], r["text"]) for r in p.near(spark, docs, DATA).collect()), key=key) == sorted(want, key=key)
+    kept = p.decontaminated(spark, docs, DATA)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    pieces = p.packed(spark, docs, DATA).collect()
+    assert Counter(r["doc_id"] for r in pieces) == Counter(r[0] for r in rows)
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, row_key int")
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, DATA).collect() == []
