@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog import __version__, errors
-from loomlog.functions.records import route
+from loomlog.functions.records import checksum, route
 from loomlog.operators import checkpoint as C
 from loomlog.operators import replay as P
 from loomlog.operators import state as S
@@ -22,6 +22,12 @@ def _bytes(x: bytes | str | None) -> bytes | None:
     return x.encode() if isinstance(x, str) else x
 
 
+def _digest(entries: DataFrame) -> dict:
+    """Count and an order-free digest of a snapshot's entries: the sum of their hashes modulo 2 ** 64."""
+    row = entries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(entries.columns)).cast("decimal(38,0)")).alias("h")).first()
+    return {"entry_count": row["n"], "entries_digest": int(row["h"] or 0) % 2**64}
+
+
 class Log:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
         self.spark, self.store = spark, Store(spark, path, config)
@@ -84,7 +90,7 @@ class Log:
         upto = self.store.durable_commit()
         late = [m for m in self.store.manifests() if m["commit_id"] > upto]
         ops, size = sum(w["record_count"] for m in late for w in m["shards"]), sum(w["bytes"] for m in late for w in m["shards"])
-        strongest = self.store.log().where(F.col("commit_id") > upto).agg(F.max("durability")).first()[0] if late else None
+        strongest = max((m["strongest"] for m in late if m.get("strongest") is not None), default=None)
         if strongest is None or strongest < BATCH or now_ns < dirty_since_ns:
             return False
         if now_ns - dirty_since_ns >= self.config.batch_sync_interval_ns or size >= self.config.max_dirty_bytes or ops >= self.config.max_dirty_ops:
@@ -138,11 +144,24 @@ class Log:
                 raise errors.InvalidCursor(f"{cursor} is not the end of a record")
         return tuple(cursor)
 
-    def read_from(self, shard: int, cursor: tuple[int, int] = (0, 0), limit: int = 256, consistency: str = VISIBLE) -> DataFrame:
-        return P.read_from(self.store.log(consistency == DURABLE), shard, self._checked(shard, cursor), limit)
-
-    def read_from_all(self, shard: int = 0, cursor: tuple[int, int] = (0, 0), limit: int = 256, consistency: str = VISIBLE) -> DataFrame:
-        return P.read_from_all(self.store.log(consistency == DURABLE), shard, tuple(cursor), limit)
+    def read_from(self, shard: int, cursor: tuple[int, int] = (0, 0), limit: int = 256, consistency: str = VISIBLE) -> tuple[DataFrame, tuple[int, int]]:
+        """A shard's page and the cursor behind it (where it stood if the page is empty)."""
+        page = P.read_from(self.store.log(consistency == DURABLE), shard, self._checked(shard, cursor), limit)
+        last = page.agg(F.max(F.struct("wal_segment_id", "next_offset")).alias("p")).first()["p"]
+        return page, tuple(last) if last else tuple(cursor)
+
+    def read_from_all(self, shard: int = 0, cursor: tuple[int, int] = (0, 0), limit: int = 256, consistency: str = VISIBLE) -> tuple[DataFrame, tuple[int, tuple[int, int]]]:
+        """The walk's page and where to go on: (shard, cursor), with the number of shards as shard once all is read."""
+        page = P.read_from_all(self.store.log(consistency == DURABLE), shard, tuple(cursor), limit)
+        told = page.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("shard_id", "wal_segment_id", "next_offset")).alias("p")).first()
+        if told["n"] < limit:
+            return page, (self.config.shard_count, (0, 0))
+        return page, (told["p"]["shard_id"], (told["p"]["wal_segment_id"], told["p"]["next_offset"])) if told["n"] else (shard, tuple(cursor))
+
+    def valid_prefix(self) -> DataFrame:
+        """Recovery: each shard's records before the first one whose checksum is wrong."""
+        rows = self.store.log(verified=False)
+        return P.valid_prefix(rows.withColumn("ok", checksum(F.col("key"), F.col("value")) == F.col("checksum"))).drop("ok")
 
     def zero_cursors(self) -> list[tuple[int, int]]:
         return [(0, 0)] * self.config.shard_count
@@ -209,7 +228,7 @@ class Log:
         self.sync()
         meta = self.checkpoint(kind) | {"next_seqnos": self.store.next_seqnos(), "frontiers": self.frontier()}
         C.snapshot(self.store.log(strict and kind == DURABLE)).write.mode("overwrite").parquet(f"{path}/entries")
-        meta["entry_count"] = self.spark.read.parquet(f"{path}/entries").count()
+        meta |= _digest(self.spark.read.parquet(f"{path}/entries"))
         files.write(self.spark, f"{path}/snapshot.json", json.dumps(meta).encode())
         return meta
 
@@ -223,12 +242,27 @@ class Log:
         if meta["shard_count"] != self.config.shard_count:
             raise errors.InvalidSnapshotFile(f"{meta['shard_count']} shards")
         entries = self.spark.read.parquet(f"{path}/entries")
-        if entries.count() != meta["entry_count"]:
-            raise errors.SnapshotChecksumMismatch("entry count")
+        if any(meta.get(k) != v for k, v in _digest(entries).items()):
+            raise errors.SnapshotChecksumMismatch(path)
         self._pending.clear()
         self.store.restore(entries, meta["next_seqnos"])
 
-    def compact(self) -> None:
+    def compact(self, shard: int | None = None) -> None:
         if self._pending:
             raise errors.PendingOperationsExist(f"{len(self._pending)} operations")
-        self.store.compact()
+        self.store.compact(shard)
+
+    def vacuum(self, keep: int = 1) -> list[int]:
+        return self.store.vacuum(keep)
+
+    def close(self) -> None:
+        """Ends the handle; queued operations that were never committed are refused, not dropped."""
+        if self._pending:
+            raise errors.PendingOperationsExist(f"{len(self._pending)} operations")
+
+    def __enter__(self) -> Log:
+        return self
+
+    def __exit__(self, kind, value, trace) -> None:
+        if kind is None:
+            self.close()

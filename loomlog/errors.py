@@ -55,3 +55,15 @@ class PendingOperationsExist(LogError): ...
 
 
 class SyncTimeout(LogError): ...
+
+
+class CommitConflict(LogError):
+    """Another writer published this commit number; nothing of this commit is visible."""
+
+
+class ChecksumMismatch(LogError):
+    """A record whose bytes don't have the checksum that was written with it."""
+
+
+class LogReplaced(LogError):
+    """A restore replaced the log under a running consumer."""

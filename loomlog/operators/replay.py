@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.errors import InvalidGlobalMergeCursor
@@ -86,6 +86,9 @@ def page_stats(page: DataFrame) -> DataFrame:
 
 
 def valid_prefix(records: DataFrame) -> DataFrame:
-    """Recovery: each shard's records before its first bad one (column ``ok``)."""
-    order = Window.partitionBy("shard_id").orderBy("wal_segment_id", "next_offset").rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("_all", F.min(F.col("ok").cast("int")).over(order)).where("_all = 1").drop("_all")
+    """Recovery: each shard's records before its first bad one (column ``ok``). The first bad places are an aggregate of a row
+    a shard, so no shard is read by one task."""
+    place = F.struct("wal_segment_id", "next_offset")
+    bad = records.where(~F.coalesce("ok", F.lit(False))).groupBy("shard_id").agg(F.min(place).alias("_bad"))
+    found = records.join(F.broadcast(bad), "shard_id", "left")  # a row a shard
+    return found.where(F.col("_bad").isNull() | (place < F.col("_bad"))).drop("_bad")

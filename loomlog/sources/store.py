@@ -1,8 +1,10 @@
-"""The log on disk: immutable Parquet commits, JSON manifests, generations.
+"""The log on disk: immutable Parquet commits, generations.
 
-A commit is a Parquet directory and a manifest with each touched shard's window; the manifest's rename publishes it, so
-readers that list manifests once see a snapshot. A durable marker names the last commit that is durable. Compaction and
-restore write a new generation and swing one pointer file, so positions and sequence numbers are never reused within one.
+A commit is a folder of Parquet files and a manifest with each touched shard's window. It is written aside and published by
+one rename to its number, which fails if another writer took that number, so a commit is there as a whole or not at all and
+readers that list commits once see a snapshot. A durable marker names the last commit that is durable. Compaction and restore
+write a new generation, whose ``base`` is what they left, and swing one pointer file, so positions and sequence numbers are
+never reused within one. Records are checked against their checksum when their value is read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,12 @@ from loomlog.sources import files
 BLOCK = 1 << 20
 
 
+def with_checked_values(rows: DataFrame) -> DataFrame:
+    place = F.format_string("ChecksumMismatch: shard %d, segment %d, record ending at %d", "shard_id", "wal_segment_id", "next_offset")
+    ok = F.col("checksum").isNull() | (checksum(F.col("key"), F.col("value")) == F.col("checksum"))
+    return rows.withColumn("value", F.when(ok, F.col("value")).otherwise(F.raise_error(place).cast("binary")))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
         self.spark, self.path = spark, path.rstrip("/")
@@ -44,10 +52,11 @@ class Store:
     def _at(self, generation: int | None = None) -> str:
         return f"{self.path}/gen={self.generation if generation is None else generation}"
 
-    def manifests(self) -> list[dict]:
-        """In commit order. One small file a commit; compaction folds them into one."""
-        root = self._at()
-        return [json.loads(files.read(self.spark, f"{root}/manifests/{n}")) for n in files.names(self.spark, f"{root}/manifests") if n.endswith(".json")]
+    def manifests(self, generation: int | None = None) -> list[dict]:
+        """In commit order, the base first. One small file a commit; compaction folds them into one."""
+        root = self._at(generation)
+        folders = [f"base/{n}" for n in files.names(self.spark, f"{root}/base")] + [f"commits/{n}" for n in files.names(self.spark, f"{root}/commits")]
+        return [json.loads(files.read(self.spark, f"{root}/{f}/_manifest.json")) | {"folder": f} for f in folders if not f.rpartition("/")[2].startswith((".", "_"))]
 
     def durable_commit(self) -> int:
         path = f"{self._at()}/DURABLE"
@@ -69,11 +78,13 @@ class Store:
                 found[w["shard_id"]] = max(found[w["shard_id"]], w["last_seqno"] + 1, w.get("next_seqno", 1))
         return found
 
-    def log(self, durable: bool = False) -> DataFrame:
-        """Committed records up to the frontier; only published commits' files are named to the reader."""
+    def log(self, durable: bool = False, verified: bool = True) -> DataFrame:
+        """Committed records up to the frontier; only published commits' files are named to the reader. A value that is read
+        is checked first: a record that was changed on disk ends the query with ChecksumMismatch."""
         upto = self.durable_commit()
-        paths = [f"{self._at()}/data/{m['data']}" for m in self.manifests() if m["data"] and (not durable or m["commit_id"] <= upto)]
-        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+        paths = [f"{self._at()}/{m['folder']}" for m in self.manifests() if m["data"] and (not durable or m["commit_id"] <= upto)]
+        rows = self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+        return with_checked_values(rows) if verified else rows
 
     def append(self, ops: DataFrame, bucket=None, await_durable: bool = False) -> dict:
         """Commits ops (shard_id, seq, key, value, durability), ``seq`` being the arrival order, and publishes a manifest."""
@@ -91,8 +102,9 @@ class Store:
         commit = manifests[-1]["commit_id"] + 1 if manifests else 0
         rows = positions(ops, ["seq"], bucket if bucket is not None else F.floor(F.col("seq") / BLOCK), self.config.inline_max)
         window = self._write(rows, commit, self.ends(), self.next_seqnos(), self._at())
-        window["durable"] = odd["strongest"] == STRICT or await_durable
-        self._publish(window, self._at())
+        window |= {"durable": odd["strongest"] == STRICT or await_durable, "strongest": odd["strongest"]}
+        if not self._publish(window, self._at(), "commits"):
+            raise errors.CommitConflict(str(commit))
         if window["durable"]:
             self.sync()
         return window
@@ -115,25 +127,28 @@ class Store:
             seqno.cast("long").alias("seqno"), key.alias("key"), value.alias("value"), "value_len", "record_type", F.col("durability").cast("int").alias("durability"),
             F.lit(commit).cast("long").alias("commit_id"), checksum(key, value).alias("checksum"),
         )
-        data = f"commit={commit:012d}-{uuid.uuid4().hex}"
-        out.write.parquet(f"{root}/data/{data}")
-        told = self.spark.read.schema(LOG).parquet(f"{root}/data/{data}").groupBy("shard_id").agg(
+        data = uuid.uuid4().hex
+        out.write.parquet(f"{root}/aside/{data}")
+        told = self.spark.read.schema(LOG).parquet(f"{root}/aside/{data}").groupBy("shard_id").agg(
             F.min(F.struct("wal_segment_id", "wal_offset")).alias("start"), F.max(F.struct("wal_segment_id", "next_offset")).alias("end"), F.min("seqno").alias("first"),
             F.max("seqno").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.col("next_offset") - F.col("wal_offset") + blob_length(F.col("value"), F.col("record_type"))).alias("bytes"),
         )
         shards = [{"shard_id": r["shard_id"], "start": list(r["start"]), "end": list(r["end"]), "first_seqno": r["first"], "last_seqno": r["last"], "record_count": r["n"], "bytes": r["bytes"]} for r in told.orderBy("shard_id").collect()]
         return {"commit_id": commit, "data": data, "shards": shards}
 
-    def _publish(self, manifest: dict, root: str) -> None:
-        files.write(self.spark, f"{root}/manifests/{manifest['commit_id']:012d}.json", json.dumps(manifest).encode())
+    def _publish(self, manifest: dict, root: str, where: str) -> bool:
+        aside = f"{root}/aside/{manifest['data'] or uuid.uuid4().hex}"
+        files.write(self.spark, f"{aside}/_manifest.json", json.dumps(manifest).encode())
+        return files.publish(self.spark, aside, f"{root}/{where}/{manifest['commit_id']:012d}")
 
     def sync(self) -> None:
         """Durable frontier := visible frontier. Parquet and manifests are on the store already; this publishes the fact."""
         if manifests := self.manifests():
             files.write(self.spark, f"{self._at()}/DURABLE", str(manifests[-1]["commit_id"]).encode())
 
-    def _swing(self, rows: DataFrame | None, seqnos: list[int], keep_seqno: bool) -> None:
-        new = self.generation + 1
+    def _swing(self, rows: DataFrame | None, seqnos: list[int], keep_seqno: bool, kind: str) -> None:
+        old = self.generation
+        new = old + 1
         root = self._at(new)
         zeros = [(0, 0)] * self.config.shard_count
         manifest = {"commit_id": 0, "data": None, "shards": []}
@@ -143,25 +158,48 @@ class Store:
         for w in manifest["shards"]:
             w["next_seqno"] = seqnos[w["shard_id"]]
         manifest["shards"] += [{"shard_id": k, "start": [0, 0], "end": [0, 0], "first_seqno": 1, "last_seqno": 0, "record_count": 0, "bytes": 0, "next_seqno": n} for k, n in enumerate(seqnos) if k not in had]
-        self._publish(manifest, root)
+        last = max((m["commit_id"] for m in self.manifests(old)), default=-1)
+        if not self._publish(manifest | {"kind": kind, "follows": [old, last]}, root, "base"):
+            raise errors.CommitConflict(f"generation {new}")
         files.write(self.spark, f"{root}/DURABLE", b"0")
         files.write(self.spark, f"{self.path}/CURRENT", str(new).encode())
 
-    def compact(self) -> None:
-        """Live rows with their seqnos in a new generation; sequence numbers never go down."""
+    def vacuum(self, keep: int = 1) -> list[int]:
+        """Removes generations but the present one and ``keep`` before it, and what dead writers left aside. No reader or
+        consumer may be in them, and no writer at work."""
+        gone = [g for g in sorted(int(n[4:]) for n in files.names(self.spark, self.path) if n.startswith("gen=")) if g < self.generation - keep]
+        for g in gone:
+            files.remove(self.spark, self._at(g))
+        files.remove(self.spark, f"{self._at()}/aside")
+        return gone
+
+    def compact(self, shard: int | None = None) -> None:
+        """Live rows with their seqnos in a new generation; sequence numbers never go down. With ``shard`` only that shard is
+        compacted; the others keep their records, at positions of the new generation."""
         from loomlog.operators.state import compacted
 
         manifests = self.manifests()
         if manifests and self.durable_commit() < manifests[-1]["commit_id"]:
             raise errors.PendingOperationsExist("sync first")
-        self._swing(compacted(self.log(), self.config.inline_max), self.next_seqnos(), True)
+        if shard is None:
+            rows = compacted(self.log(), self.config.inline_max)
+        else:
+            if not 0 <= shard < self.config.shard_count:
+                raise errors.InvalidShardId(str(shard))
+            log = self.log()
+            rest = log.where(F.col("shard_id") != shard)
+            seqno = F.col("seqno")
+            rest = positions(rest.withColumn("own", seqno), ["own"], F.floor(seqno / BLOCK), self.config.inline_max).withColumn("seqno", F.col("own")).drop("own")
+            own = compacted(log.where(F.col("shard_id") == shard), self.config.inline_max)
+            rows = own.unionByName(rest.select(*own.columns))
+        self._swing(rows, self.next_seqnos(), True, "compact")
 
     def restore(self, entries: DataFrame, next_seqnos: list[int]) -> None:
         """All shards replaced by the entries (shard_id, key, value), strict, with seqnos 1..n in key order."""
         ops = entries.select("shard_id", "key", "value", F.lit(STRICT).alias("durability"))
         rows = positions(ops, ["key"], F.substring(F.hex("key"), 1, 4), self.config.inline_max)
         highest = [max(a, b) for a, b in zip(self.next_seqnos(), next_seqnos, strict=True)]
-        self._swing(rows, highest, False)
+        self._swing(rows, highest, False, "restore")
 
     def state(self, durable: bool = False) -> DataFrame:
         return state(self.log(durable))

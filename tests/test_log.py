@@ -26,7 +26,7 @@ def test_put_get_delete_and_reopen(spark, tmp_path):
     again = Log(spark, path)
     assert again.config.shard_count == 1
     assert again.get("user:1") == b"hello" and again.get("user:2") == b"x" * 50
-    assert kinds(again.read_from(0)) == [(b"user:1", INLINE, 1), (b"user:2", BLOB, 2), (b"user:3", TOMBSTONE, 3)]
+    assert kinds(again.read_from(0)[0]) == [(b"user:1", INLINE, 1), (b"user:2", BLOB, 2), (b"user:3", TOMBSTONE, 3)]
     with pytest.raises(errors.KeyNotFound):
         again.get("user:3")
     assert again.exists_ref("user:3") and not again.exists("user:3")
@@ -85,7 +85,7 @@ def test_time_travel_and_cursor_errors(log):
         log.get_at(7, first, "user:42")
     with pytest.raises(errors.InvalidCursor):
         log.read_from(0, (0, first[1] - 1))
-    assert len(log.read_from(0, tuple(first)).collect()) == 2
+    assert len(log.read_from(0, tuple(first))[0].collect()) == 2
 
 
 def test_checkpoint_files(spark, log, tmp_path):
@@ -176,3 +176,145 @@ def test_tail_and_maintained_state(log, tmp_path):
     log.append_batch([("c", "4")])
     maintain(log, str(tmp_path / "state"), str(tmp_path / "cp2")).awaitTermination()
     assert {(r["key"], r["value"]) for r in maintained(log, str(tmp_path / "state")).collect()} == {(r["key"], r["value"]) for r in log.store.state().collect()}
+
+
+def seqnos(rows):
+    return sorted((r["shard_id"], r["seqno"]) for r in rows.collect())
+
+
+def test_unpublished_commits_are_never_read_and_published_ones_always(log, tmp_path, monkeypatch):
+    from loomlog.streaming.tail import consume
+
+    seen, cp = [], str(tmp_path / "cp")
+    handle = lambda rows, batch: seen.extend(seqnos(rows))
+    log.append_batch([("a", "1")], 0)
+    consume(log, cp, handle).awaitTermination()
+    publish, held = log.store._publish, []
+    monkeypatch.setattr(log.store, "_publish", lambda *a: held.append(a) or True)
+    log.append_batch([("b", "2")], 0, BATCH)  # written, not published
+    consume(log, cp, handle).awaitTermination()
+    assert seen == [(0, 1)] == seqnos(log.read_all_merged())
+    assert publish(*held[0])
+    consume(log, cp, handle).awaitTermination()
+    assert seen == [(0, 1), (0, 2)] == seqnos(log.read_all_merged())
+    log.append_batch([("dead", "x")], 0, BATCH)  # its writer dies
+    monkeypatch.undo()
+    log.append_batch([("c", "3")], 0)
+    fresh = []
+    consume(log, str(tmp_path / "fresh"), lambda rows, batch: fresh.extend(seqnos(rows))).awaitTermination()
+    consume(log, cp, handle).awaitTermination()
+    assert fresh == seen == seqnos(log.read_all_merged()) and len(seen) == 3 and not log.exists("dead")
+
+
+def test_two_writers_of_one_number(log, spark, monkeypatch):
+    log.append_batch([("a", "1")], 0)
+    other = Log(spark, log.store.path)
+    held = []
+    publish = log.store._publish
+    monkeypatch.setattr(log.store, "_publish", lambda *a: held.append(a) or True)
+    log.append_batch([("b", "2")], 0, BATCH)
+    other.append_batch([("c", "3")], 0)
+    assert publish(*held[0]) is False  # append() raises CommitConflict
+    monkeypatch.setattr(log.store, "_publish", lambda *a: False)
+    with pytest.raises(errors.CommitConflict):
+        log.append_batch([("d", "4")], 0)
+    assert other.exists("c") or other.get_or_null("c", shard=0) == b"3"
+    assert seqnos(other.read_all_merged()) == [(0, 1), (0, 2)]
+
+
+def test_consumer_follows_compaction_and_fails_on_restore(log, tmp_path):
+    from loomlog.streaming.tail import consume
+
+    seen, cp = [], str(tmp_path / "cp")
+    handle = lambda rows, batch: seen.extend(seqnos(rows))
+    log.append_batch([("a", "1"), ("b", "2")], 0)
+    consume(log, cp, handle).awaitTermination()
+    log.append_batch([("a", "3")], 0)
+    log.sync()
+    log.compact()
+    log.append_batch([("c", "4")], 0)
+    consume(log, cp, handle).awaitTermination()
+    assert sorted(seen) == [(0, 1), (0, 2), (0, 3), (0, 4)]
+    log.snapshot(str(tmp_path / "s"))
+    log.restore(str(tmp_path / "s"))
+    with pytest.raises(errors.LogReplaced):
+        consume(log, cp, handle)
+
+
+def test_consumer_from_a_checkpoint_and_capped_tail(log, tmp_path):
+    from loomlog.streaming.tail import consume, follow
+
+    log.append_batch([("a", "1"), ("b", "2")], 0)
+    log.append_batch([("c", "3")], 1)
+    saved = log.save_checkpoint(str(tmp_path / "c.bin"))
+    log.append_batch([("d", "4")], 0)
+    log.append_batch([("e", "5")], 1)
+    seen, cp = [], str(tmp_path / "cp")
+    for _ in range(2):
+        consume(log, cp, lambda rows, batch: seen.extend(seqnos(rows)), since=saved).awaitTermination()
+    assert sorted(seen) == [(0, 3), (1, 2)]
+    got, handle = [], lambda rows: got.extend((r["seqno"], r["shard_id"]) for r in rows)
+    at = follow(log, log.zero_cursors(), handle, page=2, max_items=3)
+    assert len(got) == 3
+    follow(log, at, handle, page=2)
+    assert got == [(r["seqno"], r["shard_id"]) for r in log.read_all_merged().collect()]
+
+
+def test_pages_of_a_shard_and_the_walk_go_on_from_their_cursors(log):
+    for k in range(3):
+        log.append_batch([(f"a{k}", "x"), (f"b{k}", None)], 0)
+        log.append_batch([(f"c{k}", "y")], 1)
+    at, seen = (0, 0), []
+    while (page := log.read_from(0, at, 4))[0].count():
+        seen += [r["seqno"] for r in page[0].collect()]
+        at = page[1]
+    assert seen == [1, 2, 3, 4, 5, 6] and log.read_from(0, at, 4)[1] == at
+    shard, at, seen = 0, (0, 0), []
+    while shard < 2:
+        page, (shard, at) = log.read_from_all(shard, at, 4)
+        seen += [(r["shard_id"], r["seqno"]) for r in page.collect()]
+    assert seen == seqnos(log.read_all_merged())
+
+
+def test_changed_records_and_snapshots_are_told(log, spark, tmp_path):
+    import glob
+
+    from pyspark.sql import functions as F
+
+    log.append_batch([("a", "1"), ("b", "2"), ("c", "3")], 0)
+    log.append_batch([("d", "4")], 1)
+    log.snapshot(str(tmp_path / "s"))
+    entries = spark.read.parquet(str(tmp_path / "s" / "entries"))
+    rows = [tuple(r) for r in entries.withColumn("value", F.when(F.col("key") == F.lit(b"a"), F.lit(b"9")).otherwise(F.col("value"))).collect()]
+    spark.createDataFrame(rows, entries.schema).write.mode("overwrite").parquet(str(tmp_path / "s" / "entries"))
+    with pytest.raises(errors.SnapshotChecksumMismatch):
+        log.restore(str(tmp_path / "s"))
+    (folder,) = glob.glob(f"{log.store.path}/gen=0/commits/000000000000")
+    bad = [tuple(r) for r in spark.read.parquet(folder).withColumn("value", F.when(F.col("key") == F.lit(b"b"), F.lit(b"9")).otherwise(F.col("value"))).collect()]
+    spark.createDataFrame(bad, spark.read.parquet(folder).schema).write.mode("append").parquet(str(tmp_path / "bad"))
+    for old in glob.glob(f"{folder}/part-*") + glob.glob(f"{folder}/.part-*"):
+        __import__("os").unlink(old)
+    for new in glob.glob(str(tmp_path / "bad" / "part-*")):
+        __import__("shutil").copy(new, folder)
+    with pytest.raises(Exception, match="ChecksumMismatch"):
+        log.read_all_merged().collect()
+    assert [(r["shard_id"], r["seqno"]) for r in log.valid_prefix().orderBy("shard_id", "seqno").collect()] == [(0, 1), (1, 1)]
+
+
+def test_compaction_of_one_shard_and_vacuum(log, spark):
+    from loomlog.sources import files
+
+    for k in range(3):
+        log.append_batch([("k", f"v{k}")], 0)
+        log.append_batch([("k", f"w{k}")], 1)
+    log.sync()
+    log.compact(1)
+    assert seqnos(log.read_all_merged()) == [(0, 1), (0, 2), (0, 3), (1, 3)]
+    assert log.store.next_seqnos() == [4, 4] and log.get_or_null("k", shard=0) == b"v2" and log.get_or_null("k", shard=1) == b"w2"
+    log.compact()
+    log.append_batch([("z", "1")], 0)
+    assert log.vacuum(0) == [0, 1] and files.names(spark, log.store.path).count("gen=2") == 1
+    assert seqnos(log.read_all_merged()) == [(0, 3), (0, 4), (1, 3)]
+    log.sync()
+    with pytest.raises(errors.InvalidShardId):
+        log.compact(9)
