@@ -45,14 +45,22 @@ def segments(rows: DataFrame, limit: int) -> DataFrame:
         shard, segment, tail = None, 0, 0
         for batch in batches:
             shards, sizes = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-            out_segment, out_start = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-            for k, (s, n) in enumerate(zip(shards.tolist(), sizes.tolist(), strict=True)):
-                if s != shard:
-                    shard, segment, tail = s, 0, 0
-                if tail and tail + n > limit:
-                    segment, tail = segment + 1, 0
-                out_segment[k], out_start[k] = segment, tail
-                tail += n
+            out_segment, out_start, ends = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.cumsum(sizes)
+            edges = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1], [True]])) if len(sizes) else []
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                if shards[first] != shard:
+                    shard, segment, tail = shards[first], 0, 0
+                k = first
+                while k < last:  # a step a segment
+                    before = ends[k] - sizes[k]
+                    fits = min(int(np.searchsorted(ends, before + limit - tail, "right")), last) if tail <= limit else k
+                    if fits <= k and tail:
+                        segment, tail = segment + 1, 0
+                        continue
+                    fits = max(fits, k + 1)
+                    out_segment[k:fits], out_start[k:fits] = segment, tail + ends[k:fits] - sizes[k:fits] - before
+                    tail += ends[fits - 1] - before
+                    k = fits
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out_segment), pa.array(out_start), pa.array(out_start + sizes)], ["shard_id", "seqno", "wal_segment_id", "wal_offset", "next_offset"])
 
     chosen = rows.select("shard_id", F.col("seqno").cast("long"), F.col("len").cast("long"))

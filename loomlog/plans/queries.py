@@ -13,7 +13,7 @@ from loomlog.operators import frontier as FR
 from loomlog.operators import layout as L
 from loomlog.operators import replay as P
 from loomlog.operators import state as S
-from loomlog.schema import DURABLE, TOMBSTONE, VISIBLE, Config
+from loomlog.schema import BATCH, DURABLE, TOMBSTONE, VISIBLE, Config
 from loomlog.sources.derive import INLINE_MAX, SHARDS, event_log, event_ops, order_log
 
 SEGMENT_LIMIT = 16_384
@@ -187,7 +187,10 @@ def read_from(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT {', '.join('l.' + c for c in ITEM)}, row_number() OVER (ORDER BY next_offset) AS place FROM log l JOIN ends e ON l.shard_id = e.shard_id WHERE l.shard_id = 2 AND next_offset > {AT} AND next_offset <= durable ORDER BY next_offset LIMIT 1000000")
 def read_from_durable(spark: SparkSession, d: str) -> DataFrame:
     log = event_log(spark, d)
-    return _numbered(P.read_from(P.bounded(log, FR.durable_frontier(log)), 2, (0, AT), 1_000_000), "next_offset")
+    page = P.read_from(P.bounded(log, FR.durable_frontier(log)), 2, (0, AT), 1_000_000)
+    # Seqnos of a shard have no gaps, so places follow from the first one without a sort in one task.
+    first = log.where((F.col("shard_id") == 2) & R.after(0, AT)).agg(F.min("seqno").alias("first"))
+    return page.join(F.broadcast(first)).select(*ITEM, (F.col("seqno") - F.col("first") + 1).alias("place"))  # one row
 
 
 @query(f"SELECT {ITEM_SQL}, row_number() OVER (ORDER BY shard_id, next_offset) AS place FROM log WHERE shard_id > 1 OR (shard_id = 1 AND next_offset > {AT}) ORDER BY shard_id, next_offset LIMIT 500")
@@ -265,7 +268,23 @@ def commit_frontiers(spark: SparkSession, d: str) -> DataFrame:
     return FR.commit_frontiers(event_log(spark, d))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {LOG_SQL},
+ops AS (SELECT shard_id, seqno * 2 AS step, 1 AS op, seqno * 20000 AS now_ns, next_offset - wal_offset AS bytes, durability FROM log),
+steps AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY step) AS k
+    FROM (SELECT * FROM ops UNION ALL SELECT shard_id, step + 1, 0, now_ns, 0, 0 FROM ops WHERE step % 20 = 0)),
+fold(shard_id, k, step, since, ops, bytes, strongest, synced, synced_ops, synced_bytes) AS (
+    SELECT shard_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), -1, false, CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+    FROM (SELECT DISTINCT shard_id FROM steps)
+    UNION ALL
+    SELECT shard_id, k, step, CASE WHEN op = 1 THEN coalesce(since, now_ns) WHEN syncs THEN NULL ELSE since END,
+           CASE WHEN syncs THEN 0 ELSE ops + op END, CASE WHEN syncs THEN 0 ELSE old_bytes + bytes END,
+           CASE WHEN op = 1 THEN greatest(strongest, durability) WHEN syncs THEN -1 ELSE strongest END, syncs, ops, old_bytes
+    FROM (SELECT s.shard_id, s.k, s.step, s.op, s.now_ns, s.bytes, s.durability, f.since, f.ops, f.bytes AS old_bytes, f.strongest,
+                 s.op = 0 AND coalesce(s.now_ns >= f.since, false) AND f.strongest >= {BATCH} AND (s.now_ns - f.since >= {CONFIG.batch_sync_interval_ns}
+                 OR f.bytes >= {CONFIG.max_dirty_bytes} OR f.ops >= {CONFIG.max_dirty_ops}) AS syncs
+          FROM fold f JOIN steps s ON s.shard_id = f.shard_id AND s.k = f.k + 1))
+SELECT shard_id, step, synced_ops, synced_bytes FROM fold WHERE synced""", raw=True)
 def durability_ticks(spark: SparkSession, d: str) -> DataFrame:
     log = event_log(spark, d)
     ops = log.select("shard_id", (F.col("seqno") * 2).alias("step"), F.lit("op").alias("kind"), (F.col("seqno") * 20_000).alias("now_ns"), (F.col("next_offset") - F.col("wal_offset")).alias("bytes"), "durability")
@@ -327,7 +346,7 @@ def snapshot_inspect(spark: SparkSession, d: str) -> DataFrame:
 FROM live WINDOW w AS (PARTITION BY shard_id ORDER BY key ROWS UNBOUNDED PRECEDING)""")
 def snapshot_restore(spark: SparkSession, d: str) -> DataFrame:
     ops = C.restored(C.snapshot(event_log(spark, d)))
-    return L.positions(ops, ["arrival"], F.substring("arrival", 1, 6), INLINE_MAX).select("shard_id", "key", "value", "seqno", "next_offset")
+    return L.positions(ops, ["arrival"], F.substring("arrival", 1, 16), INLINE_MAX).select("shard_id", "key", "value", "seqno", "next_offset")
 
 
 @query("""SELECT shard_id, key, value, seqno, 2 AS durability, CAST(sum(next_offset - wal_offset) OVER w AS BIGINT) AS next_offset

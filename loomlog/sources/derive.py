@@ -28,8 +28,8 @@ def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of those operations in (ts, event_id) order, positions by day and shard."""
-    log = positions(event_ops(spark, sf_dir), ["ts", "event_id"], F.to_date("ts"), INLINE_MAX)
+    """The log of those operations in (ts, event_id) order, positions by hour and shard."""
+    log = positions(event_ops(spark, sf_dir), ["ts", "event_id"], F.date_trunc("hour", "ts"), INLINE_MAX)
     return log.drop("ts", "len")
 
 

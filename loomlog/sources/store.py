@@ -196,10 +196,15 @@ class Store:
 
     def restore(self, entries: DataFrame, next_seqnos: list[int]) -> None:
         """All shards replaced by the entries (shard_id, key, value), strict, with seqnos 1..n in key order."""
-        ops = entries.select("shard_id", "key", "value", F.lit(STRICT).alias("durability"))
-        rows = positions(ops, ["key"], F.substring(F.hex("key"), 1, 4), self.config.inline_max)
+        # Buckets are key ranges of about the same size, whatever the keys look like; written once, as ranges are sampled.
+        ranged = entries.select("shard_id", "key", "value").repartitionByRange("shard_id", "key").withColumn("range", F.spark_partition_id())
+        aside = f"{self._at(self.generation + 1)}/aside/{uuid.uuid4().hex}"
+        ranged.write.parquet(aside)
+        ops = self.spark.read.schema(ranged.schema).parquet(aside).withColumn("durability", F.lit(STRICT))
+        rows = positions(ops, ["key"], F.col("range"), self.config.inline_max).drop("range")
         highest = [max(a, b) for a, b in zip(self.next_seqnos(), next_seqnos, strict=True)]
         self._swing(rows, highest, False, "restore")
+        files.remove(self.spark, aside)
 
     def state(self, durable: bool = False) -> DataFrame:
         return state(self.log(durable))
