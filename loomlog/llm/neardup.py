@@ -386,3 +386,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+#: An exact join over shingles.
+ORACLE = r"""
+WITH RECURSIVE spoken AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, hash(CASE WHEN len(w) < 3 THEN w ELSE w[k : k + 2] END) AS g
+    FROM spoken, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS u(k)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+    GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+reached AS (
+    SELECT doc_id AS node, doc_id AS other FROM documents
+    UNION SELECT r.node, l.o FROM reached r JOIN (SELECT a AS n, b AS o FROM links UNION ALL SELECT b, a FROM links) l ON r.other = l.n)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
+FROM documents d JOIN reached r ON r.node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -18,6 +18,7 @@ import hashlib
 import re
 import sys
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loomlog.llm.common import id_and_text, table
+from loomlog.llm.span_sql import base_sql
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -159,6 +161,12 @@ def plain_digits(tape: Tape) -> Tape:
     return rewrite(tape, [(*m.span(), "+") for m in SPOKEN_PLUS.finditer(tape[0])])
 
 
+def meets(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a span meets one of those taken, which are sorted and disjoint."""
+    k = bisect_left(taken, (end, -1)) - 1
+    return k >= 0 and taken[k][1] > start
+
+
 def plain_signs(tape: Tape) -> Tape:
     text, edits = tape[0], []
     for m in MAIL.finditer(text):
@@ -168,7 +176,7 @@ def plain_signs(tape: Tape) -> Tape:
             edits += [(m.start(part) + d.start(), m.start(part) + d.end(), sign) for d in pattern.finditer(m.group(part))]
     taken = [(a, b) for a, b, _ in edits]
     for m in DOTTED.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+        if not meets(taken, *m.span()):
             edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in ANY_DOT.finditer(m.group())]
     return rewrite(tape, sorted(e for e in edits if text[e[0] : e[1]] != e[2]))
 
@@ -184,7 +192,7 @@ def deobfuscated(text: str) -> list[tuple[int, int, int]]:
     found = []
     for start, end, kind in base(tape[0]):
         last = tape[1][end - 1]
-        stop = next(p for p in tape[1][end:] if p > last) if end < len(tape[1]) else len(text)
+        stop = tape[1][bisect_right(tape[1], last, end)] if end < len(tape[1]) else len(text)  # places never fall
         if tape[1][end] - last > 1 and end < len(tape[0]):  # what vanished behind the last character is not part of it
             stop = min(stop, tape[1][end])
         while stop > last + 1 and text[stop - 1] in " ,":
@@ -196,7 +204,10 @@ def deobfuscated(text: str) -> list[tuple[int, int, int]]:
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, each by start and kind."""
     own = base(text)
-    more = [x for x in deobfuscated(text) if not any(x[2] == y[2] and x[0] < y[1] and y[0] < x[1] for y in own)]
+    more = deobfuscated(text)
+    if more:
+        of = [sorted((a, b) for a, b, k in own if k == kind) for kind in range(len(KINDS))]
+        more = [x for x in more if not meets(of[x[2]], x[0], x[1])]
     key = lambda x: (x[0], x[2], x[1])
     return sorted(own, key=key), sorted({*own, *more}, key=key)
 
@@ -227,3 +238,19 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op8_personal_data: the base spans."""
+    return op8_personal_data(spark, sf_dir).drop("spans")
+
+
+_digits = "regexp_replace(s, '[^0-9]', '', 'g')"
+_digit = f"substr(reverse({_digits}), (j + 1)::BIGINT, 1)::INT"
+_luhn = f"list_sum(list_transform(range(length({_digits})), lambda j: (1 + j % 2) * {_digit} - CASE WHEN j % 2 = 1 AND {_digit} > 4 THEN 9 ELSE 0 END)) % 10 = 0"
+ORACLE = base_sql([
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(s, '.'), lambda x: length(ltrim(x, '0')) > 3 OR right('000' || x, 3)::INT > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_digits}) BETWEEN 12 AND 19 AND {_luhn}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_digits}) BETWEEN 9 AND 15"),
+])

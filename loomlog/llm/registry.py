@@ -6,6 +6,7 @@ from loomlog.llm import decontamination, exact_dedup, langid, line_dedup, neardu
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op1_secrets_base": secrets.op1_secrets_base,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
@@ -14,11 +15,16 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_personal_data": pii.op8_personal_data,
+    "op8_personal_data_base": pii.op8_personal_data_base,
     "op9_packing": packing.op9_packing,
     "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES = {
+    "op1_secrets_base": secrets.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_near_duplicates": neardup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op8_personal_data_base": pii.ORACLE,
 }

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import id_and_text, table
+from loomlog.llm.span_sql import base_sql
 
 KINDS = ("assign", "access", "hex", "random")
 KEYWORDS = r"(?i:password|passwd|secret|token|api_?key)"
@@ -223,3 +224,16 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
+
+
+def op1_secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1_secrets: the base spans."""
+    return op1_secrets(spark, sf_dir).drop("spans")
+
+
+_assign = r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
+ORACLE = base_sql([
+    ("assign", _assign, f"length(regexp_extract(s, '{_assign}', 1)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(s) >= 20"),
+    ("hex", "[0-9a-f]+", "length(s) >= 24"),
+])

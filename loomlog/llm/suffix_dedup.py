@@ -1,22 +1,25 @@
-"""Removal of repeated byte strings by sampled, externally sorted suffixes.
-
-Sorting all suffixes of a corpus needs many times its size on disk, so only a sample of suffixes is sorted and the rest
-is induced from it. The sample is locally consistent, as the leftmost-type suffixes of induced sorting are: the place
-of the least ``GRAM``-byte hash in each window of ``length`` bytes, so equal windows hold their sampled suffix at the
-same offset, and each window belongs to exactly one sampled suffix. Levels, each an external sort (Spark's sorter: runs
-on disk merged through priority queues) over tuples of a name and a place:
-
-1. sampled suffixes are sorted by the name of their first ``GRAM`` bytes; a name that occurs once induces that all its
-   windows are unique. Within a name, the first suffix of each context (the bytes of all its windows) stays, later ones
-   are repeats as a whole;
-2. names with several contexts are ambiguous: their suffixes go, with their bytes, through a second sort by name, and
-   windows are induced from the named suffix by their offset and the bytes on both sides, in groups of one name.
-
-Map tasks do the same within their chunk first, so a passage in a third of all documents sends one tuple a chunk. Names
-with more than ``BUSY`` contexts (the ``BUSY_NAMES`` largest) are dealt out by their windows' own names instead, in a
-third sort. Large groups are flushed: what a flush parts goes through that third sort too, so no size limit changes a
-result. Ambiguous names are broadcast only up to ``BROADCAST_NAMES``; beyond, they are joined by document. Names are
-64-bit hashes, contexts 40 bits more.
+"""Removal of repeated byte strings by external induced sorting of sampled suffixes.
+
+Sorting all suffixes of a corpus needs many times its size on disk, so the reduced problem of induced sorting is a locally
+consistent *sample* of suffixes, as the leftmost-type suffixes are: the place of the least ``GRAM``-byte hash in each window
+of ``length`` bytes. Equal windows hold their sampled suffix at the same offset, and each window belongs to exactly one
+sampled suffix. Suffix tuples (name, place and what is known of the suffix) go through a recursion of external sorts, each
+carrying on only what the one above left ambiguous; a sort is Spark's external sorter, sorted runs on disk that are merged
+through a priority queue, and its output is read as a stream:
+
+1. tuples are sorted by name (the first ``GRAM`` bytes), context (the bytes of all windows of the suffix), document and
+   place. A name that occurs once induces that all its windows are unique; within a name, the first suffix of each context
+   stays and later ones are repeats as a whole. Names with several contexts are ambiguous;
+2. ambiguous suffixes are sorted by the bytes that follow, and the stream carries the common-prefix value of neighbours. The
+   order of all windows is induced from it: windows at the same offset d before their sampled suffix are equal if no
+   common-prefix value between them is under length - d and the d bytes to the left agree;
+3. windows of names with very many suffixes (more than ``GROUP`` in a task, or ``BUSY`` contexts: the ``BUSY_NAMES`` largest
+   such names) get names of their own and are sorted by name, document and place.
+
+Map tasks settle ``HELD`` tuples at a time, so a passage in a third of all documents sends one tuple for some 20 MB of text;
+texts beyond a chunk are read in overlapping parts. Streams carry one row (or one group of bounded size) from batch to batch,
+so memory is bounded and no size limit changes a result. Ambiguous names are broadcast only up to ``BROADCAST_NAMES``; beyond,
+they are joined by document. Names are 64-bit hashes, contexts 40 bits more.
 
 A byte goes if a ``length``-byte string that covers it also starts earlier (smaller identifier, or earlier in the same
 text), judged on the input. Cases: null and empty texts have no bytes; texts shorter than ``length`` stay; rows without
@@ -34,15 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.arrays import chunks, flat, mix
-from loomlog.llm.common import id_and_text, shuffle_partitions, staged, table
+from loomlog.llm.arrays import CHUNK_BYTES, chunks, flat, mix
+from loomlog.llm.common import freed, id_and_text, shuffle_partitions, staged, table
 from loomlog.llm.shingles import _constants, powers
 
 LENGTH = 100
 GRAM = 16
 BROADCAST_NAMES = 4_000_000
-BUSY, BUSY_NAMES = 500, 20_000  # contexts of a name above which it is dealt out by window; most such names, by contexts
-GROUP = 100_000  # tuples of one name that a task holds at once
+BUSY, BUSY_NAMES = 50_000, 20_000  # contexts of a name above which it is dealt out by window; most such names, by contexts
+HELD = 500_000  # tuples that a map task settles at once
+GROUP = 50_000  # tuples of one name that a task holds at once
 TUPLES = "kind int, name long, mark long, doc long, start long, bytes binary"
 NAMES = ["kind", "name", "mark", "doc", "start", "bytes"]
 REPEAT, SUFFIX, CONTEXT, WINDOW = range(4)
@@ -55,13 +59,32 @@ def tuples(kind: int, name=None, mark=None, doc=None, start=None, bytes_=None) -
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), long(name), long(mark), long(doc), long(start), pa.nulls(n, pa.binary()) if bytes_ is None else bytes_], NAMES)
 
 
+def parts(batches: Iterator[pa.RecordBatch], length: int, most: int = CHUNK_BYTES) -> Iterator[tuple]:
+    """(doc, bytes, where rows begin, place of the first byte in its text, batch) of chunks; a text beyond a chunk comes in
+    parts that overlap, so that each window is in exactly one."""
+    for batch in chunks(batches, 1, most):
+        doc, (data, at) = np.asarray(batch.column(0)), flat(batch.column(1))
+        if len(batch) == 1 and len(data) > most:
+            for a in range(0, len(data), most):
+                own = data[a : a + most + length - 1]
+                yield doc, own, np.array([0, len(own)]), a, batch
+        else:
+            yield doc, data, at, 0, batch
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of hashed bytes times powers; sums[b] - sums[a], scaled down by the power of a, is a hash of the bytes a to b."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_constants()[0][data] * powers(len(data) + 1)[0][: len(data)], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
 def sampled(data: np.ndarray, at: np.ndarray, length: int) -> dict[str, np.ndarray] | None:
     """The sampled suffixes of a chunk of texts, in order of place: row, name, p (place), first and last window start, context."""
     n, span = len(data), length - GRAM + 1
     if n < length:
         return None
-    up, down = powers(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_constants()[0][data] * up[:n], dtype=np.uint64)])
+    down, sums = powers(n + 1)[1], prefix_sums(data)
     name = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
     least = (name & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(name), dtype=np.uint64)
     width = 1
@@ -115,26 +138,39 @@ def firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
 
 
 def suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """Level 1, map side: (doc, text) to SUFFIX tuples (mark: context, high - low; start: low) and REPEATs of the chunk."""
+    """Level 1, map side: (doc, text) to SUFFIX tuples (mark: context, high - low; start: low) and REPEATs of what was held."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 1):
-            data, at = flat(batch.column(1))
-            if (s := sampled(data, at, length)) is None:
-                continue
-            doc, start = np.asarray(batch.column(0))[s["row"]], s["low"] - at[s["row"]]
-            order, first = firsts((s["name"], s["context"]), doc, start)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            name, mark, doc, start = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            order, first = firsts((name, mark), doc, start)
             kept, gone = order[first], order[~first]
-            yield tuples(SUFFIX, s["name"][kept], s["context"][kept] << 8 | (s["high"] - s["low"])[kept], doc[kept], start[kept])
+            for k in range(0, len(kept), 100_000):
+                yield tuples(SUFFIX, *(x[kept[k : k + 100_000]] for x in (name, mark, doc, start)))
             if len(gone):
-                yield joined(doc[gone], start[gone], (s["high"] - s["low"])[gone] + length)
+                yield joined(doc[gone], start[gone], (mark[gone] & 0xFF) + length)
+
+        for doc, data, at, shift, _ in parts(batches, length):
+            if (s := sampled(data, at, length)) is not None:
+                held.append((s["name"], s["context"] << 8 | (s["high"] - s["low"]), doc[s["row"]], s["low"] - at[s["row"]] + shift))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from settled()
+        if held:
+            yield from settled()
 
     return docs.mapInArrow(sample, TUPLES)
 
 
-def by_name(rows: DataFrame, settle, held: list[str]) -> DataFrame:
-    """An external sort by name; ``settle`` gets whole groups of names, or a flushed part of a very large one."""
-    n = shuffle_partitions(rows.sparkSession)
+def in_order(rows: DataFrame, order: list, read, held: list[str]) -> DataFrame:
+    """An external sort by ``order`` within names dealt over tasks; ``read`` gets the sorted stream."""
+    return rows.select(*held).repartition(shuffle_partitions(rows.sparkSession), "name").sortWithinPartitions("name", *order).mapInArrow(read, TUPLES)
+
+
+def by_name(rows: DataFrame, order: list, settle, held: list[str]) -> DataFrame:
+    """``settle`` gets whole groups of names in order, or a flushed part of a very large one."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: list[pa.RecordBatch] = []
@@ -164,39 +200,47 @@ def by_name(rows: DataFrame, settle, held: list[str]) -> DataFrame:
         if carried:
             yield from settled(carried)
 
-    return rows.select(*held).repartition(n, "name").sortWithinPartitions("name").mapInArrow(groups, TUPLES)
+    return in_order(rows, order, groups, held)
 
 
 def named(rows: DataFrame, length: int) -> DataFrame:
     """Level 1, reduce side: SUFFIX tuples to REPEATs, and to SUFFIX tuples of ambiguous names."""
 
-    def settle(group: pa.Table, flushed: bool) -> Iterator[pa.RecordBatch]:
-        name, mark, doc, start = (group.column(c).to_numpy() for c in ("name", "mark", "doc", "start"))
-        size = np.diff(np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]])))
-        shared = np.repeat(size, size) > 1
-        if not shared.any() and not flushed:
-            return
-        name, mark, doc, start = (x[shared] if not flushed else x for x in (name, mark, doc, start))
-        order, first = firsts((name, mark), doc, start)
-        gone = order[~first]
-        if len(gone):
-            yield joined(doc[gone], start[gone], (mark[gone] & 0xFF) + length)
-        kept = order[first]
-        several = np.repeat(*(lambda c: (c, c))(np.diff(np.flatnonzero(np.concatenate([[True], name[kept][1:] != name[kept][:-1], [True]]))))) > 1
-        kept = kept if flushed else kept[several]
-        yield tuples(SUFFIX, name[kept], mark[kept], doc[kept], start[kept])
-
-    return by_name(rows, settle, ["name", "mark", "doc", "start"])
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, several, pending = (None, None), None, None  # last row's name and mark; a name known to be ambiguous; a name's only context so far
+        for batch in batches:
+            if not len(batch):
+                continue
+            name, mark, doc, start = own = [np.asarray(batch.column(c)) for c in range(4)]
+            fresh = np.ones(len(name), bool)
+            fresh[1:] = (name[1:] != name[:-1]) | (mark[1:] != mark[:-1])
+            fresh[0] = (name[0], mark[0]) != last
+            last = name[-1], mark[-1]
+            if not fresh.all():
+                yield joined(doc[~fresh], start[~fresh], (mark[~fresh] & 0xFF) + length)
+            seen = [x[fresh] for x in own]
+            if pending is not None:
+                seen = [np.concatenate([[p], x]) for p, x in zip(pending, seen, strict=True)]
+            if not len(seen[0]):
+                continue
+            edges = np.flatnonzero(np.concatenate([[True], seen[0][1:] != seen[0][:-1], [True]]))
+            size = np.diff(edges)
+            sent = np.repeat(size, size) > 1
+            if several is not None:
+                sent |= seen[0] == several
+            yield tuples(SUFFIX, *(x[sent] for x in seen))
+            several, pending = (seen[0][-1], None) if sent[-1] else (None, [x[-1] for x in seen])
+
+    return in_order(rows, ["mark", "doc", "start"], judge, ["name", "mark", "doc", "start"])
 
 
 def contexts(docs: DataFrame, wanted, busy: np.ndarray, length: int) -> DataFrame:
-    """Level 2, map side: CONTEXT tuples (start: first window; mark: number of windows; bytes: all their bytes) of the names
-    wanted, but for busy ones."""
+    """Level 2, map side: CONTEXT tuples (start: first window; mark: number of windows, and place of the sampled suffix;
+    bytes: those of all windows) of the names wanted, but for busy ones."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wanted.value if wanted is not None else None
-        for batch in chunks(batches, 1):
-            data, at = flat(batch.column(1))
+        for doc, data, at, shift, batch in parts(batches, length):
             if (s := sampled(data, at, length)) is None:
                 continue
             if known is not None:
@@ -207,14 +251,16 @@ def contexts(docs: DataFrame, wanted, busy: np.ndarray, length: int) -> DataFram
                 lists = batch.column(2)
                 own = np.asarray(lists.flatten())
                 row = np.repeat(np.arange(len(batch)), np.diff(np.asarray(lists.offsets)))
-                asked = np.fromiter(((r, x) in pairs for r, x in zip(s["row"].tolist(), s["name"].tolist(), strict=True)), bool, len(s["row"])) if (pairs := set(zip(row.tolist(), own.tolist(), strict=True))) else np.zeros(len(s["row"]), bool)
-            s = {k: v[asked & ~np.isin(s["name"], busy)] for k, v in s.items()}
-            doc, start = np.asarray(batch.column(0))[s["row"]], s["low"] - at[s["row"]]
-            order, first = firsts((s["name"], s["context"]), doc, start)
+                pairs = set(zip(row.tolist(), own.tolist(), strict=True))
+                asked = np.fromiter(((r, x) in pairs for r, x in zip(s["row"].tolist(), s["name"].tolist(), strict=True)), bool, len(s["row"]))
+            asked &= ~np.isin(s["name"], busy)
+            s = {k: v[asked] for k, v in s.items()}
+            own, start = doc[s["row"]], s["low"] - at[s["row"]] + shift
+            order, first = firsts((s["name"], s["context"]), own, start)
             kept = order[first]
-            low, high, raw = s["low"][kept], s["high"][kept], data.tobytes()
+            low, high, p, raw = s["low"][kept], s["high"][kept], s["p"][kept], data.tobytes()
             cut = pa.array([raw[a : b + length] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
-            yield tuples(CONTEXT, s["name"][kept], high - low + 1, doc[kept], start[kept], cut)
+            yield tuples(CONTEXT, s["name"][kept], (high - low + 1) << 8 | (p - low), own[kept], start[kept], cut)
 
     return docs.mapInArrow(collect, TUPLES)
 
@@ -224,22 +270,20 @@ def busy_windows(docs: DataFrame, busy: np.ndarray, length: int) -> DataFrame:
     the work on such a name is dealt out by window and not by name."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 1):
-            data, at = flat(batch.column(1))
+        for doc, data, at, shift, _ in parts(batches, length):
             if (s := sampled(data, at, length)) is None or not (asked := np.isin(s["name"], busy)).any():
                 continue
-            up, down = powers(len(data) + 1)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_constants()[0][data] * up[: len(data)], dtype=np.uint64)])
+            down, sums = powers(len(data) + 1)[1], prefix_sums(data)
             low, number, row = s["low"][asked], (s["high"] - s["low"] + 1)[asked], s["row"][asked]
             begin = np.repeat(low - np.cumsum(number) + number, number) + np.arange(number.sum())
             window = mix((sums[begin + length] - sums[begin]) * down[begin]).view(np.int64)
             row = np.repeat(row, number)
-            doc, start = np.asarray(batch.column(0))[row], begin - at[row]
-            order, first = firsts((window,), doc, start)
+            own, start = doc[row], begin - at[row] + shift
+            order, first = firsts((window,), own, start)
             gone, kept = order[~first], order[first]
-            yield tuples(WINDOW, window[kept], None, doc[kept], start[kept])
+            yield tuples(WINDOW, window[kept], None, own[kept], start[kept])
             if len(gone):
-                yield joined(doc[gone], start[gone], np.full(len(gone), length))
+                yield joined(own[gone], start[gone], np.full(len(gone), length))
 
     return docs.mapInArrow(spread, TUPLES)
 
@@ -258,50 +302,80 @@ def halves(unclear: DataFrame) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["part"], np.int32) for r in parts)]))
 
 
+def common_prefixes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Of each stretch of bytes and the one before it the length of the common prefix, up to ``most``; 0 for the first."""
+    out = np.zeros(len(begin), np.int64)
+    for a in range(0, len(begin), 2_000):
+        rows = np.arange(max(a - 1, 0), min(a + 2_000, len(begin)))
+        place = np.minimum(begin[rows, None] + np.arange(most), len(data) - 1)
+        grid = np.where(np.arange(most) < size[rows, None], data[place].astype(np.int16), -1)
+        same = (grid[1:] == grid[:-1]) & (grid[1:] >= 0)
+        out[rows[1:]] = np.where(same.all(1), most, same.argmin(1))
+    return out
+
+
 def induced(rows: DataFrame, length: int) -> DataFrame:
     """Level 2, reduce side: CONTEXT tuples to REPEATs, and to WINDOW tuples of flushed groups."""
 
     def settle(group: pa.Table, flushed: bool) -> Iterator[pa.RecordBatch]:
-        held = 20_000
-        name_ = group.column("name").to_numpy()
+        name_, at_most = group.column("name").to_numpy(), 10_000
         cuts = [0]
-        while cuts[-1] < len(name_):  # parts of whole names, some ``held`` tuples each
-            at = min(cuts[-1] + held, len(name_)) - 1
+        while cuts[-1] < len(name_):  # parts of whole names
+            at = min(cuts[-1] + at_most, len(name_)) - 1
             cuts.append(int(np.searchsorted(name_, name_[at], "right")))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             part = group.slice(a, b - a).combine_chunks()
-            name, number, doc, start = (part.column(c).to_numpy() for c in ("name", "mark", "doc", "start"))
+            name, mark, doc, start = (part.column(c).to_numpy() for c in ("name", "mark", "doc", "start"))
+            number, place = mark >> 8, mark & 0xFF
             raw = part.column("bytes").combine_chunks()
             raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
             data, at = flat(raw.cast(pa.large_binary()).view(pa.large_string()))
-            up, down = powers(len(data) + 1)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_constants()[0][data] * up[: len(data)], dtype=np.uint64)])
-            row = np.repeat(np.arange(len(name)), number)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-            begin = at[:-1][row] + step
-            window = mix((sums[begin + length] - sums[begin]) * down[begin]).view(np.int64)
-            doc, start = doc[row], start[row] + step
-            order, first = firsts((window,), doc, start)
-            gone, kept = order[~first], order[first]
-            if len(gone):
-                yield joined(doc[gone], start[gone], np.full(len(gone), length))
-            if flushed:
-                yield tuples(WINDOW, window[kept], None, doc[kept], start[kept])
-
-    return by_name(rows, settle, ["name", "mark", "doc", "start", "bytes"])
+            suffix = at[:-1] + place
+            prefix = common_prefixes(data, suffix, at[1:] - suffix, length)
+            prefix[1:][name[1:] != name[:-1]] = -1
+            prefix[:1] = -1
+            down, sums = powers(len(data) + 1)[1], prefix_sums(data)
+            gone: list[tuple[np.ndarray, np.ndarray]] = []
+            for d in range(int((place - number).min()) + 1, int(place.max()) + 1):  # windows that begin d bytes before their suffix
+                mine = np.flatnonzero((place >= d) & (place - number < d))
+                begin, own, from_ = suffix[mine] - d, doc[mine], start[mine] + place[mine] - d
+                if flushed:
+                    window = mix((sums[begin + length] - sums[begin]) * down[begin]).view(np.int64)
+                    order, first = firsts((window,), own, from_)
+                    kept = order[first]
+                    yield tuples(WINDOW, window[kept], None, own[kept], from_[kept])
+                else:  # equal: one run of suffixes that agree on length - d bytes, and the same bytes to the left
+                    run = np.maximum.accumulate(np.where(prefix < length - d, np.arange(len(prefix)), 0))[mine]
+                    left = ((sums[begin + d] - sums[begin]) * down[begin]).view(np.int64)
+                    again = np.bincount(run, minlength=len(prefix))[run] > 1
+                    own, from_, run, left = own[again], from_[again], run[again], left[again]
+                    order, first = firsts((run, left), own, from_)
+                gone.append((own[order[~first]], from_[order[~first]]))
+            doc, start = (np.concatenate(x) for x in zip(*gone, strict=True))
+            if len(doc):
+                yield joined(doc, start, np.full(len(doc), length))
+
+    follows = F.expr("substring(bytes, cast((mark & 255) + 1 as int))")
+    return by_name(rows, [follows], settle, ["name", "mark", "doc", "start", "bytes"])
 
 
 def windows(rows: DataFrame, length) -> DataFrame:
-    """Level 3: WINDOW tuples to REPEATs of ``length``, a number or a function of the names."""
+    """Level 3: WINDOW tuples to REPEATs of ``length``, a number or a function of the names; all but the first of each name."""
 
-    def settle(group: pa.Table, flushed: bool) -> Iterator[pa.RecordBatch]:
-        name, doc, start = (group.column(c).to_numpy() for c in ("name", "doc", "start"))
-        order, first = firsts((name,), doc, start)
-        gone = order[~first]
-        if len(gone):
-            yield joined(doc[gone], start[gone], length(name[gone]) if callable(length) else np.full(len(gone), length))
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            name, doc, start = (np.asarray(batch.column(c)) for c in range(3))
+            again = np.zeros(len(name), bool)
+            again[1:] = name[1:] == name[:-1]
+            again[0] = last is not None and name[0] == last
+            last = name[-1]
+            if again.any():
+                yield joined(doc[again], start[again], length(name[again]) if callable(length) else np.full(int(again.sum()), length))
 
-    return by_name(rows, settle, ["name", "doc", "start"])
+    return in_order(rows, ["doc", "start"], judge, ["name", "doc", "start"])
 
 
 def repeats(docs: DataFrame, length: int) -> DataFrame:
@@ -372,3 +446,28 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (
+    SELECT doc_id, o, substr(h, 2 * o + 1, 2198) AS b FROM texts, unnest(range(0, length(h) // 2 - 99, 1000)) AS u(o)),
+windows AS (
+    SELECT doc_id, o + s AS s, hash(substr(b, 2 * s + 1, 200)) AS name
+    FROM blocks, unnest(range(least(1000, length(b) // 2 - 99))) AS u(s)),
+again AS (
+    SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, s) > 1),
+islands AS (
+    SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k
+    FROM (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM again)),
+spans AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM islands GROUP BY doc_id, k),
+gaps AS (
+    SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM spans
+    UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+kept AS (
+    SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (coalesce(b, length(h) / 2) - a))::BIGINT), '' ORDER BY a) AS h
+    FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, (length(t.h) / 2)::BIGINT AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(s.a) AS n_spans,
+       sha256(unhex(coalesce(any_value(k.h), t.h))) AS kept_sha256
+FROM texts t LEFT JOIN spans s ON t.doc_id = s.doc_id LEFT JOIN kept k ON t.doc_id = k.doc_id GROUP BY t.doc_id, t.h
+"""

@@ -134,6 +134,41 @@ def test_pii_words_of_four_languages_stay():
         assert pii.spans(text) == ([], [])
 
 
+def test_pii_time_is_linear():
+    import time
+
+    text, took = "one two one two one two dot 5 a@b.co 1.2.3.4 x dot y at z dot org, ", {}
+    for n in (400, 1600):
+        began = time.process_time()
+        own, every = pii.spans(text * n)
+        took[n] = time.process_time() - began
+        assert len(own) == 2 * n and len(every) > 2 * n
+    assert took[1600] < 8 * took[400]
+
+
+def brute_deobfuscated(text):
+    """Each step on the whole string, places kept by a list; spans by looking at every place."""
+    tape = (text, list(range(len(text) + 1)))
+    for step in (pii.plain_letters, pii.plain_digits, pii.plain_signs):
+        tape = step(tape)
+    return {(tape[1][a], k) for a, b, k in base_pii(tape[0])}
+
+
+def test_pii_added_spans_come_from_the_normalised_text():
+    rng = random.Random(7)
+    parts = ["john", " dot ", " at ", "example", "com", " ", "one", "two ", "plus ", "five five five", "１２", "@", ".", "192", " [at] ", "а", "+1 ", "org, "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        own, every = pii.spans(text)
+        assert sorted(own) == base_pii(text) and set(own) <= set(every)
+        added = [x for x in every if x not in own]
+        starts = brute_deobfuscated(text)
+        assert all((a, k) in starts and 0 <= a < b <= len(text) for a, b, k in added)
+        found = pii.deobfuscated(text)
+        assert not found or {(a, k) for a, _, k in found} == starts
+        assert all((a, b, k) in every or any(k == z and a < y and x < b for x, y, z in own) for a, b, k in found)
+
+
 def test_pii_leaves_words_alone():
     assert all(pii.ODD.match(chr(k)) for k in pii.homoglyphs())
     for text in ("look at this. dot it", "one two three four five", "meet at ten dot", "élan à côté"):
@@ -155,9 +190,17 @@ def brute_repeats(docs, n):
     return out
 
 
-@pytest.mark.parametrize("group, names, busy", [(100_000, 4_000_000, 500), (20, 4_000_000, 500), (100_000, -1, 500), (100_000, 4_000_000, 5)])
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch, group, names, busy):
+@pytest.fixture
+def rows_a_batch(spark):
+    yield lambda n: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("group, names, busy, held, batch", [(20_000, 4_000_000, 500, 500_000, 10_000), (3, 4_000_000, 500, 1, 2), (20_000, -1, 500, 500_000, 10_000), (20, 4_000_000, 5, 30, 7), (20_000, 4_000_000, 500, 1, 2)])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, rows_a_batch, group, names, busy, held, batch):
     monkeypatch.setattr(suffix_dedup, "BUSY", busy)
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    rows_a_batch(batch)
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_NAMES", names)
     rng = random.Random(5)
@@ -188,9 +231,36 @@ def brute_lines(docs, run, words):
     return {d: (len(lines[d]), len(gone[d]), sum(k - 1 not in gone[d] for k in gone[d]), "\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d])) for d in docs}
 
 
-@pytest.mark.parametrize("group, words", [(100_000, 5), (100_000, None), (20, 5)])
-def test_line_dedup_matches_brute_force(spark, monkeypatch, group, words):
+def test_texts_beyond_a_chunk_come_in_parts():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abc ") for _ in range(n)) for n in (0, 950, 3000, 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, 6, 7]), pa.array(texts)], ["doc", "text"])
+    found = []
+    for doc, data, at, shift, _ in suffix_dedup.parts(iter([batch]), 40, 1000):
+        s = suffix_dedup.sampled(data, at, 40)
+        for k in range(len(s["row"]) if s else 0):
+            row = int(s["row"][k])
+            for w in range(int(s["low"][k]), int(s["high"][k]) + 1):
+                start = w - int(at[row]) + shift
+                assert data[w : w + 40].tobytes().decode() == texts[int(doc[row]) - 4][start : start + 40]
+                found.append((int(doc[row]), start))
+    assert sorted(found) == [(4 + k, s) for k, x in enumerate(texts) for s in range(len(x) - 39)]
+
+
+def test_winnowing_selects_less_than_every_place():
+    rng = np.random.default_rng(1)
+    lines = rng.integers(0, 2**63, 3000, np.uint64)
+    place, name, marks = line_dedup.selected(lines, np.array([0, 3000]), 3, 2)
+    assert 0.6 < len(place) / 2998 < 0.72 and (marks != 0).sum() == 2998
+    _, again, _ = line_dedup.selected(lines[100:110], np.array([0, 10]), 3, 2)
+    assert set(again.tolist()) <= set(name.tolist())
+
+
+@pytest.mark.parametrize("group, words, batch", [(20_000, 5, 10_000), (20_000, None, 10_000), (3, 5, 2), (3, None, 2)])
+def test_line_dedup_matches_brute_force(spark, monkeypatch, rows_a_batch, group, words, batch):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(line_dedup, "HELD", 500_000 if batch > 2 else 1)
+    rows_a_batch(batch)
     rng = random.Random(6)
     known = [" ".join(rng.choice(["a", "b", "é\t", " "]) for _ in range(rng.randint(1, 9))) for _ in range(12)]
     docs = {k: "\n".join(rng.choice(known) for _ in range(rng.randint(0, 6))) for k in range(80)}
@@ -216,6 +286,38 @@ def least(item, text):
     return min(cost)
 
 
+def edited(rng, words, n, vocabulary):
+    x = list(words)
+    for _ in range(n):
+        q = rng.randrange(len(x))
+        if rng.random() < 0.5:
+            x[q] = rng.choice(vocabulary).upper()
+        elif rng.random() < 0.5 and len(x) > 1:
+            del x[q]
+        else:
+            x.insert(q, rng.choice(vocabulary))
+    return x
+
+
+def held(items, texts, allowed):
+    out = {}
+    for r, text in enumerate(texts):
+        w = words_of(text)
+        for k, item in items.items():
+            if len(set(item) & set(w)) >= (1 - allowed / 100) * len(set(item)) - 1 and (e := least(item, w)) <= len(item) * allowed // 100:
+                out[r, k] = e
+    return out
+
+
+def found_in(items, texts, allowed):
+    block = decontamination.Items(list(items), [hashed(x) for x in items.values()], allowed)
+    return {(r, block.ids[k]): edits for r, k, edits, *_ in block.search(pa.array(texts))}
+
+
+def hashed(x):
+    return decontamination.words(pa.array([" ".join(x)]), decontamination.ALPHANUMERIC)[0]
+
+
 def test_decontamination_recall_and_precision(spark):
     rng = random.Random(4)
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
@@ -223,28 +325,40 @@ def test_decontamination_recall_and_precision(spark):
     vocabulary = [w for x in known.values() for w in x]
     texts = []
     for _ in range(150):
-        x = list(known[rng.choice(list(known))])
-        for _ in range(rng.randint(0, int(len(x) * 0.26))):
-            q = rng.randrange(len(x))
-            if rng.random() < 0.5:
-                x[q] = rng.choice(vocabulary).upper()
-            elif rng.random() < 0.5 and len(x) > 3:
-                del x[q]
-            else:
-                x.insert(q, rng.choice(vocabulary))
+        x = known[rng.choice(list(known))]
+        x = edited(rng, x, rng.randint(0, int(len(x) * 0.26)), vocabulary)
         texts.append(" ".join([*rng.choices(vocabulary, k=rng.randint(0, 30)), *x, *rng.choices(vocabulary, k=rng.randint(0, 30))]))
-    block = next(decontamination.blocks(items, "item_id", "text", 20))
-    got = {(r, block.ids[k]): edits for r, k, edits, *_ in block.search(pa.array(texts))}
-    want = {}
-    for r, text in enumerate(texts):
-        w = words_of(text)
-        for k, item in known.items():
-            if len(set(item) & set(w)) >= 0.6 * len(set(item)) and (e := least(item, w)) <= len(item) * 20 // 100:
-                want[r, k] = e
+    got, want = found_in(known, texts, 20), held(known, texts, 20)
     assert set(got) <= set(want) and all(got[x] == want[x] for x in got)
     assert len(got) >= decontamination.RECALL * len(want) > 50
 
 
+@pytest.mark.parametrize("allowed", [10, 20, 30])
+def test_decontamination_recall_by_length(allowed):
+    rng = random.Random(allowed)
+    vocabulary = [f"word{k}" for k in range(4000)]
+    items = {n: rng.sample(vocabulary, n) for n in range(1, 41)}
+    texts = []
+    for n, x in items.items():
+        for around in (0, 20, 20, 20):
+            y = edited(rng, x, n * allowed // 100, vocabulary)
+            texts.append(" ".join([*rng.choices(vocabulary, k=around), *y, *rng.choices(vocabulary, k=around)]))
+    got, want = found_in(items, texts, allowed), held(items, texts, allowed)
+    assert set(got) <= set(want) and all(got[x] >= want[x] for x in got)
+    assert len(got) >= 0.97 * len(want) and len(want) >= 150
+    exact = [" ".join([*rng.choices(vocabulary, k=9), *x, "end"]) for x in items.values()]
+    assert {(n - 1, n) for n in items} <= set(found_in(items, exact, allowed))
+
+
+def test_least_edits_is_the_edit_distance():
+    rng = random.Random(1)
+    for _ in range(300):
+        item, text = [rng.randrange(4) for _ in range(rng.randint(1, 8))], [rng.randrange(4) for _ in range(rng.randint(0, 14))]
+        edits, first, end = decontamination.least_edits(np.array(item, np.uint64), np.array(text, np.uint64), 99)
+        assert edits == least(item, text) and 0 <= first <= end <= len(text)
+        assert edits == min(least(item, text[a:b]) for a, b in [(first, end)]) and end - first <= len(item) + edits
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
