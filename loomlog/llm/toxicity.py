@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are mapped to classes: insults (words and word beginnings with weights learned from labelled documents), harm
-verbs, targets, negations, reporting verbs (small fixed lists). Clauses go through the composition of the class
-transducers: an insult's weight is emitted on the tape of the state it is met in (plain, aimed at a target, negated,
-reported), and a harm verb with a target after it is a threat. A document's clause tapes are summed and a logistic
-layer, fit on the same documents, weighs the tapes. Training takes a bounded sample: ``TRAIN_DOCS`` labelled documents
-in expectation (all where there are fewer), ``LEXICON`` learned entries at most. Labels join by identifier; label,
-language, source and identifier are never inputs of a score.
+Words are mapped to symbols: a class (harm verb, target, negation, reporting verb, other; small fixed lists) and whether the
+word is an insult (words and word beginnings with weights learned from labelled documents). Five transducers read a clause's
+symbols, each given by its states and its step: insult (one state, passes weights on), threat (a harm verb still awaits its
+target), target (words since the last one), negation (words it still holds over) and reported speech (open until the clause
+ends). COMPOSED is their composition: a table of the reachable joint states, and for each symbol the next state, the tape
+that an insult's weight goes to, and whether a threat is complete. A target may also follow its insult, so the target
+transducer runs over the clause backwards as well. What is scored are matched clauses: a document's clause tapes are summed and
+a logistic layer, fit on the same documents, weighs the tapes. Training takes a bounded sample: ``TRAIN_DOCS`` labelled
+documents in expectation (all where there are fewer). Labels join by identifier; label, language, source and identifier are
+never inputs of a score.
 
 Cases: null and empty texts get the score of a document without any match; null labels and identifiers aren't learned
 from; repeated rows are scored each; with a single class of labels the score is 0.5 at most everywhere; an empty table
@@ -18,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +32,58 @@ from loomlog.llm.common import id_and_text, table
 from loomlog.llm.langid import held_out
 
 TRAIN_DOCS = 12_000
-LEXICON = 4_000
 PREFIXES = (4, 5, 6, 7)
 SUPPORT, EVIDENCE, WEIGHT = 3, 12.0, 0.7  # documents, G-squared and log ratio that an entry needs
 REMEMBERED = 200_000
-REACH = 3  # words over which negation holds
+REACH, NEAR = 3, 5  # words over which negation holds; words between a target and its insult, a harm verb and its target
 
 # Function words of the grammar.
-NEGATION = "not no never without nicht kein keine nie ne pas jamais ni nunca sin don't isn't"
+NEGATION = "not no never without nicht kein keine nie ne pas jamais ni nunca sin don't isn't can't won't doesn't didn't aren't wasn't"
 REPORTED = "said says called calls wrote quoted claimed sagte nannte schrieb dit appelle disait dijo llamaba"
 TARGET = "you your yours they them he she him her his du dich dir ihr sie tu te toi vous ils tú usted ustedes ellos"
 HARM = "kill hurt beat destroy burn shoot stab töten schlagen verletzen tuer frapper brûler matar golpear quemar"
 
-WORD, CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;:\n]+")
+WORD, CLAUSE = re.compile(r"[^\W\d_]+(?:'t(?![^\W_]))?"), re.compile(r"[.!?;:\n]+")
 CLASSES = {w: k for k, words in (("n", NEGATION), ("r", REPORTED), ("t", TARGET), ("h", HARM)) for w in words.split()}
 TAPES = ("plain", "aimed", "negated", "reported", "threats")
+SYMBOLS = [(kind, hit) for kind in "onrth" for hit in (False, True)]
+
+#: Transducers: first state, and the step from a state over a symbol to the next state and what is known of the symbol.
+TRANSDUCERS: dict[str, tuple[int, Callable[[int, str, bool], tuple[int, bool]]]] = {
+    "insult": (0, lambda s, kind, hit: (0, hit)),
+    "threat": (0, lambda s, kind, hit: (NEAR if kind == "h" else 0 if kind == "t" else max(s - 1, 0), kind == "t" and s > 0)),
+    "target": (0, lambda s, kind, hit: (NEAR if kind == "t" else max(s - 1, 0), s > 0 or kind == "t")),
+    "negation": (0, lambda s, kind, hit: (REACH if kind == "n" else max(s - 1, 0), s > 0)),
+    "reported": (0, lambda s, kind, hit: (int(s or kind == "r"), bool(s))),
+}
+
+
+def composed(names: tuple[str, ...]) -> list[list[tuple[int, dict[str, bool]]]]:
+    """The composition of transducers: for each reachable joint state, by symbol, the next state and what each one tells."""
+    first = tuple(TRANSDUCERS[n][0] for n in names)
+    number, table_, todo = {first: 0}, [], [first]
+    for state in todo:
+        row = []
+        for kind, hit in SYMBOLS:
+            steps = [TRANSDUCERS[n][1](s, kind, hit) for n, s in zip(names, state, strict=True)]
+            after = tuple(s for s, _ in steps)
+            if after not in number:
+                number[after] = len(todo)
+                todo.append(after)
+            row.append((number[after], {n: told for n, (_, told) in zip(names, steps, strict=True)}))
+        table_.append(row)
+    return table_
+
+
+def emitted(told: dict[str, bool]) -> tuple[str | None, bool]:
+    """The tape of an insult's weight, and whether a threat is complete."""
+    tape = "negated" if told["negation"] else "reported" if told["reported"] else "aimed" if told["target"] else "plain"
+    return tape if told["insult"] else None, told["threat"] and not told["negation"] and not told["reported"]
+
+
+COMPOSED = [[(after, *emitted(told)) for after, told in row] for row in composed(("insult", "threat", "target", "negation", "reported"))]
+BACKWARDS = [[(after, told["target"]) for after, told in row] for row in composed(("target",))]
+PLACE = {symbol: k for k, symbol in enumerate(SYMBOLS)}
 
 
 class Lexicon(dict):
@@ -64,7 +104,7 @@ class Lexicon(dict):
 
 
 def tapes(text: str, lexicon: Lexicon) -> np.ndarray:
-    """What the grammar's transducers emit for a text, as features."""
+    """What the composed transducer emits for a text, as features."""
     sums, strongest, n_words, hits, kinds = dict.fromkeys(TAPES, 0.0), 0.0, 0, 0, set()
     for clause in CLAUSE.split(text.lower()):
         words = WORD.findall(clause)
@@ -72,25 +112,20 @@ def tapes(text: str, lexicon: Lexicon) -> np.ndarray:
         weights = list(map(lexicon.__getitem__, words))
         if not any(weights) and not any(CLASSES.get(w) == "h" for w in words):
             continue
-        classes = [CLASSES.get(w) for w in words]
-        negated, reported, harm, score = 0, False, False, 0.0
-        aimed = "t" in classes
-        for word, weight, kind in zip(words, weights, classes, strict=True):
-            if kind == "n":
-                negated = REACH + 1
-            elif kind == "r":
-                reported = True
-            elif kind == "h":
-                harm = True
-            elif kind == "t" and harm:
+        symbols = [PLACE[CLASSES.get(w, "o"), bool(x)] for w, x in zip(words, weights, strict=True)]
+        ahead, state = [False] * len(symbols), 0  # whether a target comes soon
+        for k in range(len(symbols) - 1, -1, -1):
+            state, ahead[k] = BACKWARDS[state][symbols[k]]
+        state, score = 0, 0.0
+        for word, weight, symbol, soon in zip(words, weights, symbols, ahead, strict=True):
+            state, tape, threat = COMPOSED[state][symbol]
+            if threat:
                 sums["threats"] += 1
-            if weight:
-                state = "negated" if negated > 0 else "reported" if reported else "aimed" if aimed else "plain"
-                sums[state] += weight
+            if tape:
+                sums["aimed" if soon and tape == "plain" else tape] += weight
                 score += weight
                 hits += 1
                 kinds.add(word)
-            negated -= 1
         strongest = max(strongest, score)
     total = sum(sums[k] for k in TAPES[:4])
     per = 100 * total / (n_words + 10)
@@ -123,11 +158,9 @@ def learn(texts: list[str], toxic: np.ndarray) -> dict:
             p = (d + e) / (m1 + m0)
             g = 2 * (d * np.log(d / (m1 * p)) + (e * np.log(e / (m0 * p)) if e else 0.0))
             if weight >= WEIGHT and d / m1 > e / m0 and g >= EVIDENCE:
-                scored.append((g, unit, weight))
-    scored.sort(reverse=True)
-    chosen = scored[:LEXICON]
-    words = {u[1:]: w for _, u, w in chosen if u[0] == "="}
-    beginnings = {u[1:]: w for _, u, w in chosen if u[0] == "^"}
+                scored.append((unit, weight))
+    words = {u[1:]: w for u, w in scored if u[0] == "="}
+    beginnings = {u[1:]: w for u, w in scored if u[0] == "^"}
     lexicon = Lexicon(words, beginnings)
     if len(set(toxic.tolist())) < 2:
         return {"words": {}, "beginnings": {}, "mean": [], "scale": [], "w": [], "b": 0.0 if len(toxic) and toxic[0] else -2.0}

@@ -2,11 +2,13 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import DATA
-from loomlog.llm import langid, neardup
+from loomlog.llm import langid, neardup, toxicity
 from loomlog.llm.components import components
 from loomlog.llm.registry import QUERIES
 
@@ -36,6 +38,61 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_tapes(clause, weights):
+    """The grammar read off the words one by one, without states."""
+    words = toxicity.WORD.findall(clause.lower())
+    kind = [toxicity.CLASSES.get(w, "o") for w in words]
+    out = dict.fromkeys(toxicity.TAPES, 0.0)
+    for k, w in enumerate(words):
+        before = kind[max(0, k - toxicity.REACH) : k]
+        negated, reported = "n" in before, "r" in kind[:k]
+        if kind[k] == "t" and not negated and not reported:
+            last = [j for j in range(k) if kind[j] in "ht"]
+            out["threats"] += bool(last) and kind[last[-1]] == "h" and k - last[-1] <= toxicity.NEAR
+        if w in weights:
+            aimed = "t" in kind[max(0, k - toxicity.NEAR) : k + toxicity.NEAR + 1]
+            out["negated" if negated else "reported" if reported else "aimed" if aimed else "plain"] += weights[w]
+    return out
+
+
+def test_composed_grammar_matches_a_plain_reading():
+    rng = random.Random(13)
+    weights = {"idiot": 2.0, "scum": 1.5, "trash": 1.0, "burn": 0.5}
+    vocabulary = [*weights, "you", "they", "kill", "not", "never", "said", "isn't", "tree", "blue", "walks", "and", "the"]
+    for _ in range(2000):
+        clauses = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 14))) for _ in range(rng.randint(1, 3))]
+        got = toxicity.tapes(". ".join(clauses), toxicity.Lexicon(weights, {}))[: len(toxicity.TAPES)]
+        want = [plain_tapes(c, weights) for c in clauses]
+        assert got == pytest.approx([float(np.log1p(sum(w[t] for w in want))) for t in toxicity.TAPES])
+
+
+def test_language_scores_match_plain_counts(spark):
+    """Counts, smoothing and posteriors worked out once more in plain Python over n-grams as strings."""
+    docs = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    learned = [r for r in docs if r["text"] and r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+
+    def units(text):
+        x = re.sub(r"\0+", "\0", "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else "\0" for c in text))
+        x = x.removeprefix("\0")
+        return Counter(x[k : k + n] for n in langid.ORDERS for k in range(len(x) - n + 1)), any(c.isalpha() for c in text)
+
+    counts, priors = defaultdict(Counter), Counter(r["lang"] for r in learned)
+    for r in learned:
+        counts[r["lang"]].update(units(r["text"])[0])
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    got = {r["doc_id"]: r for r in QUERIES["op10_language_id"](spark, DATA).collect()}
+    same = 0
+    for r in docs[:200]:
+        found, any_letter = units(r["text"] or "")
+        if not any_letter:
+            assert got[r["doc_id"]]["lang_pred"] == "und" and got[r["doc_id"]]["score"] == 0
+            same += 1
+            continue
+        logs = {k: np.log(priors[k] / len(learned)) + sum(n * np.log((counts[k][g] + langid.SMOOTHING) / (totals[k] + langid.SMOOTHING * langid.BUCKETS)) for g, n in found.items()) for k in counts}
+        same += got[r["doc_id"]]["lang_pred"] == max(sorted(logs), key=logs.get)
+    assert same >= 0.98 * len(docs[:200])  # hashed n-grams may collide
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), text or ""))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
