@@ -99,7 +99,11 @@ def counts(labelled: DataFrame) -> DataFrame:
 
 
 def bounded(labelled: DataFrame, train_docs: int) -> DataFrame:
-    there = labelled.count()
+    most = MATRIX_BYTES // (4 * BUCKETS)
+    found = labelled.groupBy("lang").count().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} languages need more than {MATRIX_BYTES} bytes of log-probabilities")
+    there = sum(r["count"] for r in found)
     if there > train_docs:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < int((1 << 30) * train_docs / there))
     return labelled
@@ -111,8 +115,6 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], n
     labelled = bounded(labelled, train_docs)
     found = counts(labelled.select("lang", "text")).toPandas()
     langs = sorted(found["lang"].unique())
-    if BUCKETS * len(langs) * 4 > MATRIX_BYTES:
-        raise ValueError(f"{len(langs)} languages need more than {MATRIX_BYTES} bytes of log-probabilities")
     matrix, docs = np.zeros((BUCKETS + 1, len(langs))), np.ones(len(langs))
     for j, lang in enumerate(langs):
         mine = found[found["lang"] == lang]

@@ -7,8 +7,8 @@ only its representative goes on. Bands of registers are bucket keys; rows and ba
 threshold is missed with probability ``MISS`` at most. Pairs are then found without ever listing a bucket's pairs:
 
 1. rounds of leaders: each member outside its bucket's largest component meets a random member of that component, another
-   one in each bucket and round; the one met most often is checked on full sets, and links are joined into components.
-   Rounds go on while they link a tenth of those that asked, ``ROUNDS`` at most; what they miss is left to step 2;
+   one in each bucket and round; the ``ASKED`` met most often are checked on full sets, and linked components are hooked
+   together. There are ``ROUNDS`` at most; what they miss is left to step 2;
 2. where a bucket still has several components, the members outside its largest one are queries against its other
    members. The joint likelihood of both register vectors and set sizes estimates the similarity, and pairs of different
    components with an estimate near the threshold are checked on full sets. Buckets of up to ``SMALL`` members list these
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ MOST_REGISTERS = 128
 MARGIN = 0.16
 BLOCK, BLOCK_BYTES = 2048, 16 << 20  # members of a block, and bytes of their sets and registers
 SMALL = 16  # members of a bucket whose pairs are listed
-ROUNDS, GAIN = 5, 0.1
+ROUNDS, ASKED = 2, 3  # rounds of leaders; leaders that a member is checked against in a round
 EQUAL_AT_LEAST = 0.5  # equal registers, below which no likelihood is worked out
 
 
@@ -293,37 +294,21 @@ def leaders(shared: DataFrame, label: DataFrame | None, turn: int) -> DataFrame:
     return labelled.join(main, "key")
 
 
-def estimated(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """(a, b) to those whose estimate is near the threshold."""
-    least = percent / 100 - MARGIN
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.stack([np.frombuffer(r, np.uint16) for r in batch.column(c).to_pylist()]).astype(np.int16) for c in (2, 3)) if len(batch) else (np.zeros((0, 1), np.int16),) * 2
-            n, m = (np.asarray(batch.column(c)).astype(float) for c in (4, 5))
-            told = likeliest((x > y).sum(1), (x < y).sum(1), x.shape[1], n, m)
-            near = (told >= least) & ((x == y).sum(1) >= EQUAL_AT_LEAST * x.shape[1])
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    left = sketched.select(F.col("id").alias("a"), F.col("registers").alias("x"), F.col("n").alias("n"))
-    right = sketched.select(F.col("id").alias("b"), F.col("registers").alias("y"), F.col("n").alias("m"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(sift, "a long, b long")
-
-
-def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(id, component) after new links; the components are worked out over components."""
+def hooked(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after new links: each component moves to the least one that it is linked with, and on to where that one
+    moves. Chains may stay in parts; components() over all links has the last word."""
+    both = links.select("a", "b")
+    if label is not None:
+        for side in ("a", "b"):
+            known = label.select(F.col("id").alias(side), F.col("component").alias("up"))
+            both = both.join(known, side, "left").withColumn(side, F.coalesce("up", side)).select("a", "b")
+    up = staged(both.where("a <> b").groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("to")), "hooks")
+    further = up.select(F.col("id").alias("to"), F.col("to").alias("on"))
+    up = up.join(further, "to", "left").select("id", F.coalesce("on", "to").alias("component"))
     if label is None:
-        return components(links).withColumnRenamed("node", "id")
-
-    def lifted(rows: DataFrame, side: str) -> DataFrame:
-        known = label.select(F.col("id").alias(side), F.col("component").alias("up"))
-        return rows.join(known, side, "left").withColumn(side, F.coalesce("up", side)).select("a", "b")
-
-    both = lifted(lifted(links, "a"), "b")
-    found = components(both)
-    moved = label.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    fresh = found.select(F.col("node").alias("id"), "component").join(label.select("id"), "id", "left_anti")
-    return staged(moved.union(fresh), "labels")
+        return staged(up, "labels")
+    moved = label.join(up.select(F.col("id").alias("component"), F.col("component").alias("on")), "component", "left").select("id", F.coalesce("on", "component").alias("component"))
+    return staged(moved.union(up.join(label.select("id"), "id", "left_anti")), "labels")
 
 
 def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -345,36 +330,32 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     sketched = staged(sketched.join(shared.select("id").distinct(), "id", "left_semi"), "sketched")
     texts = docs.join(sketched.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = staged(texts, "texts")
-    label, tried, turn = None, None, 0
-    while True:
+    label, tried, found = None, None, []
+    for turn in range(ROUNDS):
         open_ = staged(leaders(shared, label, turn), "open")
-        asking = open_.where("component <> main").select("id", "leader")
-        pair = asking.groupBy("id", "leader").count().select("id", "leader", "count", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+        pair = open_.where("component <> main").groupBy("id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).count()
         if tried is not None:
             pair = pair.join(tried, ["a", "b"], "left_anti")
-        asked = staged(pair.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
-        links = staged(verified(staged(estimated(asked, sketched, percent), "near"), texts, k, percent), "links")
-        n_asked, n_linked = asked.count(), links.count()
-        if n_linked:
-            label = merged(label, links)
-        tried, turn = asked if tried is None else tried.union(asked), turn + 1
-        if turn >= ROUNDS or n_linked < GAIN * n_asked or not n_asked:
-            break
+        most = F.slice(F.sort_array(F.collect_list(F.struct("count", "a", "b")), asc=False), 1, ASKED)  # of a leader a band at most
+        asked = staged(pair.groupBy("id").agg(most.alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct(), "pairs")
+        links = staged(verified(asked, texts, k, percent), "links")
+        found.append(links)
         freed(open_)
-    labelled = staged(leaders(shared, label, turn), "open")
+        label, tried = hooked(label, links), asked if tried is None else tried.union(asked)
+    labelled = staged(leaders(shared, label, ROUNDS), "open")
     full = staged(labelled.join(sketched, "id").select("key", "band", "id", "component", "n", "registers", "all"), "mixed")
-    freed(open_, labelled)
+    freed(labelled)
     small = staged(residual(dealt(full.where(F.col("all") <= SMALL)), rows, number, percent, "pairs").join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = staged(verified(small, texts, k, percent), "links")
+    found.append(staged(verified(small, texts, k, percent), "links"))
     large = full.where(F.col("all") > SMALL)
     if not large.isEmpty():
         marks = staged(residual(dealt(large), rows, number, percent, "marks"), "marks")
         near = large.join(marks.withColumnRenamed("a", "id"), ["key", "id"], "left_semi")
-        links = links.union(staged(residual(dealt(with_sets(near, texts, k)), rows, number, percent, "links"), "links"))
-    label = merged(label, links)
+        found.append(staged(residual(dealt(with_sets(near, texts, k)), rows, number, percent, "links"), "links"))
+    of = staged(components(reduce(DataFrame.union, found)), "components")
     # Of equal sets each follows its representative.
-    follow = same.join(label.withColumnRenamed("id", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
-    return drawn.select("doc_id", "n_shingles"), follow.union(label).withColumnsRenamed({"a": "node", "b": "component"})
+    follow = same.join(of.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
+    return drawn.select("doc_id", "n_shingles"), of.union(follow)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -118,7 +118,7 @@ def brute_components(docs, k, percent):
     return {d: root(d) for d in docs}, {d: len(s) for d, s in found.items()}
 
 
-@pytest.mark.parametrize("k, percent, small, rounds", [(3, 85, 16, 5), (5, 80, 16, 5), (3, 85, 2, 1)])
+@pytest.mark.parametrize("k, percent, small, rounds", [(3, 85, 16, 2), (5, 80, 16, 3), (3, 85, 2, 1)])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent, small, rounds):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "ROUNDS", rounds)
