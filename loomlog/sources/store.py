@@ -13,11 +13,11 @@ import json
 import uuid
 from dataclasses import asdict, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog import errors
-from loomlog.functions.records import blob_length, checksum
+from loomlog.functions.records import blob_length, checksum, record_length, record_type
 from loomlog.operators.layout import positions
 from loomlog.operators.state import state
 from loomlog.schema import LOG, MAX_KEY_BYTES, STRICT, Config
@@ -88,52 +88,59 @@ class Store:
 
     def append(self, ops: DataFrame, bucket=None, await_durable: bool = False) -> dict:
         """Commits ops (shard_id, seq, key, value, durability), ``seq`` being the arrival order, and publishes a manifest."""
-        odd = ops.agg(
-            F.count(F.lit(1)).alias("n"), F.max("durability").alias("strongest"), F.max(F.octet_length("key")).alias("longest"),
-            F.count(F.when(~F.col("shard_id").between(0, self.config.shard_count - 1) | F.col("shard_id").isNull(), 1)).alias("astray"),
-        ).first()
-        if not odd["n"]:
+        sums = self._sums(ops)
+        if not sums:
             raise errors.EmptyBatch("no operations")
-        if odd["astray"]:
-            raise errors.InvalidShardId(f"{odd['astray']} operations")
-        if (odd["longest"] or 0) > MAX_KEY_BYTES:
-            raise errors.KeyTooLong(f"{odd['longest']} bytes")
-        manifests = self.manifests()
+        if astray := [r["shard_id"] for r in sums if r["shard_id"] is None or not 0 <= r["shard_id"] < self.config.shard_count]:
+            raise errors.InvalidShardId(str(astray))
+        if (longest := max(r["longest"] or 0 for r in sums)) > MAX_KEY_BYTES:
+            raise errors.KeyTooLong(f"{longest} bytes")
+        manifests, strongest = self.manifests(), max(r["strongest"] for r in sums)
         commit = manifests[-1]["commit_id"] + 1 if manifests else 0
         rows = positions(ops, ["seq"], bucket if bucket is not None else F.floor(F.col("seq") / BLOCK), self.config.inline_max)
-        window = self._write(rows, commit, self.ends(), self.next_seqnos(), self._at())
-        window |= {"durable": odd["strongest"] == STRICT or await_durable, "strongest": odd["strongest"]}
+        window = self._write(rows, sums, commit, self.ends(), self.next_seqnos(), self._at())
+        window |= {"durable": strongest == STRICT or await_durable, "strongest": strongest}
         if not self._publish(window, self._at(), "commits"):
             raise errors.CommitConflict(str(commit))
         if window["durable"]:
             self.sync()
         return window
 
-    def _write(self, rows: DataFrame, commit: int, ends: list[tuple[int, int]], seqnos: list[int], root: str, keep_seqno: bool = False) -> dict:
+    def _sums(self, ops: DataFrame) -> list[Row]:
+        """A row a shard (and one more where ids are astray): records, bytes, blob bytes, strongest durability, longest key."""
+        kind = record_type(F.col("value"), self.config.inline_max)
+        of = ops.groupBy("shard_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(record_length(F.col("key"), F.col("value"), kind)).alias("size"), F.sum(blob_length(F.col("value"), kind)).alias("blobs"),
+            F.max("durability").alias("strongest"), F.max(F.octet_length("key")).alias("longest"),
+        )
+        return of.limit(self.config.shard_count + 1).collect()
+
+    def _write(self, rows: DataFrame, sums: list[Row], commit: int, ends: list[tuple[int, int]], seqnos: list[int], root: str, keep_seqno: bool = False) -> dict:
         """Rows with positions from 0 to a Parquet directory with positions behind ``ends``; the manifest, unpublished.
 
         A shard whose open segment would pass its limit starts a new one; a commit's rows of a shard share a segment, so
         a large commit is a segment of its own.
         """
-        starts = self.spark.createDataFrame([(k, s, o, n) for k, ((s, o), n) in enumerate(zip(ends, seqnos, strict=True))], "shard_id int, seg0 long, off0 long, seq0 long")
-        sizes = rows.groupBy("shard_id").agg(F.max("next_offset").alias("size"))
-        starts = starts.join(sizes, "shard_id")
-        full = (F.col("off0") > 0) & (F.col("off0") + F.col("size") > self.config.wal_segment_size)
-        starts = starts.select("shard_id", F.when(full, F.col("seg0") + 1).otherwise(F.col("seg0")).alias("seg0"), F.when(full, 0).otherwise(F.col("off0")).alias("off0"), "seq0")
-        key, value = F.col("key").cast("binary"), F.col("value").cast("binary")
-        seqno = F.col("seqno") if keep_seqno else F.col("seqno") + F.col("seq0") - 1
-        out = rows.join(F.broadcast(starts), "shard_id").select(  # a row a shard
-            "shard_id", F.col("seg0").alias("wal_segment_id"), (F.col("wal_offset") + F.col("off0")).alias("wal_offset"), (F.col("next_offset") + F.col("off0")).alias("next_offset"),
+        size, starts = {r["shard_id"]: r["size"] for r in sums}, []
+        for k, (segment, offset) in enumerate(ends):
+            full = offset > 0 and offset + size.get(k, 0) > self.config.wal_segment_size
+            starts.append((segment + 1, 0) if full else (segment, offset))
+        of = lambda values: F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col("shard_id") + 1)
+        key, value, offset = F.col("key").cast("binary"), F.col("value").cast("binary"), of([o for _, o in starts])
+        seqno = F.col("seqno") if keep_seqno else F.col("seqno") + of(seqnos) - 1
+        out = rows.select(
+            "shard_id", of([s for s, _ in starts]).alias("wal_segment_id"), (F.col("wal_offset") + offset).alias("wal_offset"), (F.col("next_offset") + offset).alias("next_offset"),
             seqno.cast("long").alias("seqno"), key.alias("key"), value.alias("value"), "value_len", "record_type", F.col("durability").cast("int").alias("durability"),
             F.lit(commit).cast("long").alias("commit_id"), checksum(key, value).alias("checksum"),
         )
         data = uuid.uuid4().hex
         out.write.parquet(f"{root}/aside/{data}")
-        told = self.spark.read.schema(LOG).parquet(f"{root}/aside/{data}").groupBy("shard_id").agg(
-            F.min(F.struct("wal_segment_id", "wal_offset")).alias("start"), F.max(F.struct("wal_segment_id", "next_offset")).alias("end"), F.min("seqno").alias("first"),
-            F.max("seqno").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.col("next_offset") - F.col("wal_offset") + blob_length(F.col("value"), F.col("record_type"))).alias("bytes"),
-        )
-        shards = [{"shard_id": r["shard_id"], "start": list(r["start"]), "end": list(r["end"]), "first_seqno": r["first"], "last_seqno": r["last"], "record_count": r["n"], "bytes": r["bytes"]} for r in told.orderBy("shard_id").collect()]
+        last = {r["shard_id"]: r["last"] for r in self.spark.read.schema(LOG).parquet(f"{root}/aside/{data}").groupBy("shard_id").agg(F.struct(F.min("seqno"), F.max("seqno")).alias("last")).collect()} if keep_seqno else {}
+        shards = []
+        for r in sorted(sums, key=lambda r: r["shard_id"]):
+            k, (segment, begin) = r["shard_id"], starts[r["shard_id"]]
+            first, end = last.get(k, (seqnos[k], seqnos[k] + r["n"] - 1))
+            shards.append({"shard_id": k, "start": [segment, begin], "end": [segment, begin + r["size"]], "first_seqno": first, "last_seqno": end, "record_count": r["n"], "bytes": r["size"] + r["blobs"]})
         return {"commit_id": commit, "data": data, "shards": shards}
 
     def _publish(self, manifest: dict, root: str, where: str) -> bool:
@@ -146,14 +153,14 @@ class Store:
         if manifests := self.manifests():
             files.write(self.spark, f"{self._at()}/DURABLE", str(manifests[-1]["commit_id"]).encode())
 
-    def _swing(self, rows: DataFrame | None, seqnos: list[int], keep_seqno: bool, kind: str) -> None:
+    def _swing(self, rows: DataFrame, sums: list[Row], seqnos: list[int], keep_seqno: bool, kind: str) -> None:
         old = self.generation
         new = old + 1
         root = self._at(new)
         zeros = [(0, 0)] * self.config.shard_count
         manifest = {"commit_id": 0, "data": None, "shards": []}
-        if rows is not None and not rows.isEmpty():
-            manifest = self._write(rows, 0, zeros, [1] * self.config.shard_count, root, keep_seqno)
+        if sums:
+            manifest = self._write(rows, sums, 0, zeros, [1] * self.config.shard_count, root, keep_seqno)
         had = {w["shard_id"] for w in manifest["shards"]}
         for w in manifest["shards"]:
             w["next_seqno"] = seqnos[w["shard_id"]]
@@ -192,18 +199,19 @@ class Store:
             rest = positions(rest.withColumn("own", seqno), ["own"], F.floor(seqno / BLOCK), self.config.inline_max).withColumn("seqno", F.col("own")).drop("own")
             own = compacted(log.where(F.col("shard_id") == shard), self.config.inline_max)
             rows = own.unionByName(rest.select(*own.columns))
-        self._swing(rows, self.next_seqnos(), True, "compact")
+        self._swing(rows, self._sums(rows), self.next_seqnos(), True, "compact")
 
     def restore(self, entries: DataFrame, next_seqnos: list[int]) -> None:
         """All shards replaced by the entries (shard_id, key, value), strict, with seqnos 1..n in key order."""
-        # Buckets are key ranges of about the same size, whatever the keys look like; written once, as ranges are sampled.
-        ranged = entries.select("shard_id", "key", "value").repartitionByRange("shard_id", "key").withColumn("range", F.spark_partition_id())
-        aside = f"{self._at(self.generation + 1)}/aside/{uuid.uuid4().hex}"
-        ranged.write.parquet(aside)
-        ops = self.spark.read.schema(ranged.schema).parquet(aside).withColumn("durability", F.lit(STRICT))
-        rows = positions(ops, ["key"], F.col("range"), self.config.inline_max).drop("range")
+        ops, aside = entries.select("shard_id", "key", "value", F.lit(STRICT).alias("durability")), f"{self._at(self.generation + 1)}/aside/{uuid.uuid4().hex}"
+        bucket = F.lit(0)
+        if entries.count() > BLOCK:  # key ranges of about the same size, whatever the keys look like; written once, as ranges are sampled
+            ranged = ops.repartitionByRange("shard_id", "key").withColumn("range", F.spark_partition_id())
+            ranged.write.parquet(aside)
+            ops, bucket = self.spark.read.schema(ranged.schema).parquet(aside), F.col("range")
+        rows = positions(ops, ["key"], bucket, self.config.inline_max)
         highest = [max(a, b) for a, b in zip(self.next_seqnos(), next_seqnos, strict=True)]
-        self._swing(rows, highest, False, "restore")
+        self._swing(rows, self._sums(ops), highest, False, "restore")
         files.remove(self.spark, aside)
 
     def state(self, durable: bool = False) -> DataFrame:
