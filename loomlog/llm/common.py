@@ -61,9 +61,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As staged(), but a table bucketed by ``key``: later joins on it move the other side only. freed() drops it."""
+    spark = df.sparkSession
+    name = f"loomlog_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    atexit.register(_remove, spark, path)
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(shuffle_partitions(spark), key).saveAsTable(name)
+    out = spark.table(name)
+    out._staged_at, out._table = path, name
+    return out
+
+
 def freed(*tables: DataFrame) -> None:
     """Removes the files of staged tables that nothing will read again."""
     for df in tables:
+        if name := getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path := getattr(df, "_staged_at", None):
             _remove(df.sparkSession, path)
 

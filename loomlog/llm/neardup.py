@@ -35,9 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm.arrays import chunks, mix
-from loomlog.llm.common import freed, id_and_text, staged, table
+from loomlog.llm.common import bucketed, freed, id_and_text, staged, table
 from loomlog.llm.components import components
-from loomlog.llm.exact_dedup import runs_for, tree_merge
 from loomlog.llm.shingles import sets
 
 B = 1.02
@@ -122,16 +121,21 @@ def likeliest(more: np.ndarray, less: np.ndarray, m: int, n_a: np.ndarray, n_b:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) to those of them whose full sets are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """(a, b, hub) to (a, b) of those whose full sets are similar enough; hub is the one of both that may be in very many pairs.
+
+    The other's text comes from the bucketed table as it lies; hubs' texts are shuffled, so that large ones are split at run
+    time (texts in buckets can't be)."""
+    member, hub = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")), texts.sparkSession.read.schema(texts.schema).parquet(texts._staged_at)
+    left = texts.select(F.col("doc_id").alias("member"), F.col("text").alias("text_a"))
+    right = hub.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_b"))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 2, 1 << 20):
             ok = [similar(x, y, percent) for x, y in zip(sets(batch.column(2), k), sets(batch.column(3), k), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(hold, "a long, b long")
+    both = pairs.withColumn("member", member).join(left, "member").join(right, "hub")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(hold, "a long, b long")
 
 
 def near_pairs(group: pa.Table, rows: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,22 +274,25 @@ def with_sets(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return rows.join(wanted.select("doc_id", "text").mapInArrow(draw, schema), "id")
 
 
-def classes(drawn: DataFrame) -> DataFrame:
-    """(doc_id, rep): the least identifier with the same set."""
-    runs = runs_for(drawn.sparkSession)
-    entries = drawn.where("n_shingles > 0").select(
-        "doc_id", "digest", F.col("n_shingles").alias("check"), F.lit(0).cast("long").alias("n_bytes"), F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run")
-    )
-    return entries.join(tree_merge(entries, runs, "min"), ["digest", "check", "n_bytes", "run"]).select("doc_id", F.col("keep_id").alias("rep"))
+def classes(known: DataFrame) -> DataFrame:
+    """(doc_id, rep): the least identifier with the same set. The least is worked out before anything moves, and the way back is
+    a join, whose large partitions are split at run time."""
+    same = ["digest", "n_shingles"]
+    some = known.where("n_shingles > 0").select("doc_id", *same)
+    return some.join(some.groupBy(*same).agg(F.min("doc_id").alias("rep")), same).select("doc_id", "rep").distinct()
+
 
+def buckets(met: DataFrame) -> DataFrame:
+    """(key, band, id) of buckets with several members, each member its own component: with a random leader and the size."""
+    any_ = F.struct(F.xxhash64("key", "id"), "id")
+    of = met.groupBy("key").agg(F.min(any_)["id"].alias("leader"), F.count(F.lit(1)).alias("all")).where("all > 1")
+    return met.join(of, "key").select("key", "band", "id", F.col("id").alias("component"), F.col("leader").alias("main"), "leader", "all")
 
-def leaders(shared: DataFrame, label: DataFrame | None, turn: int) -> DataFrame:
+
+def leaders(shared: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     """(key, band, id) and (id, component) to open members (key, band, id, component, main, leader, all): the bucket has
     several components, and the leader is a random member of the largest one."""
-    if label is None:
-        labelled = shared.withColumn("component", F.col("id"))
-    else:
-        labelled = shared.join(label, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    labelled = shared.join(label, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     any_ = F.struct(F.xxhash64("key", "id", F.lit(turn)), "id")
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(any_)["id"].alias("leader"))
     largest = F.max_by(F.struct("component", "leader"), F.struct("n", F.xxhash64("key", "component", F.lit(turn))))
@@ -319,39 +326,37 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     if not known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").isEmpty():
         docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
         known = staged(sketch(docs, k, rows, number), "sketch")
-    members = staged(classes(known), "classes").distinct()
+    members = staged(classes(known), "classes")
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = members.where("doc_id = rep").select("doc_id")
     own = known.where("n_shingles > 0").join(reps, "doc_id", "left_semi")
     met = staged(own.select(F.posexplode("keys").alias("band", "key"), F.col("doc_id").alias("id")).distinct(), "bands")
-    shared = staged(met.join(met.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "buckets")
+    open_ = staged(buckets(met), "buckets")
     freed(met)
+    shared = open_.select("key", "band", "id")
     sketched = known.select(F.col("doc_id").alias("id"), "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
     sketched = staged(sketched.join(shared.select("id").distinct(), "id", "left_semi"), "sketched")
     texts = docs.join(sketched.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = staged(texts, "texts")
+    texts = bucketed(texts, "doc_id", "texts")
     label, tried, found = None, None, []
     for turn in range(ROUNDS):
+        asking = open_.where("component <> main").groupBy("id").agg(F.collect_list("leader").alias("met"))  # a leader a band
+        often = F.transform(F.array_distinct("met"), lambda x: F.struct(F.size(F.filter("met", lambda y: y == x)).alias("n"), x.alias("hub")))
+        asked = asking.select("id", F.explode(F.slice(F.sort_array(often, asc=False), 1, ASKED)).alias("p")).select("id", "p.hub")
+        asked = asked.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "hub").groupBy("a", "b").agg(F.min("hub").alias("hub"))
+        asked = staged(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found.append(staged(verified(asked, texts, k, percent), "links"))
+        label, tried = hooked(label, found[-1]), asked if tried is None else tried.union(asked)
         open_ = staged(leaders(shared, label, turn), "open")
-        pair = open_.where("component <> main").groupBy("id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).count()
-        if tried is not None:
-            pair = pair.join(tried, ["a", "b"], "left_anti")
-        most = F.slice(F.sort_array(F.collect_list(F.struct("count", "a", "b")), asc=False), 1, ASKED)  # of a leader a band at most
-        asked = staged(pair.groupBy("id").agg(most.alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct(), "pairs")
-        links = staged(verified(asked, texts, k, percent), "links")
-        found.append(links)
-        freed(open_)
-        label, tried = hooked(label, links), asked if tried is None else tried.union(asked)
-    labelled = staged(leaders(shared, label, ROUNDS), "open")
-    full = staged(labelled.join(sketched, "id").select("key", "band", "id", "component", "n", "registers", "all"), "mixed")
-    freed(labelled)
+    full = staged(open_.join(sketched, "id").select("key", "band", "id", "component", "n", "registers", "all"), "mixed")
     small = staged(residual(dealt(full.where(F.col("all") <= SMALL)), rows, number, percent, "pairs").join(tried, ["a", "b"], "left_anti"), "pairs")
-    found.append(staged(verified(small, texts, k, percent), "links"))
+    found.append(staged(verified(small.withColumn("hub", F.col("b")), texts, k, percent), "links"))
     large = full.where(F.col("all") > SMALL)
     if not large.isEmpty():
         marks = staged(residual(dealt(large), rows, number, percent, "marks"), "marks")
         near = large.join(marks.withColumnRenamed("a", "id"), ["key", "id"], "left_semi")
         found.append(staged(residual(dealt(with_sets(near, texts, k)), rows, number, percent, "links"), "links"))
+    freed(texts)
     of = staged(components(reduce(DataFrame.union, found)), "components")
     # Of equal sets each follows its representative.
     follow = same.join(of.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
