@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,17 @@ def _bytes(x: bytes | str | None) -> bytes | None:
     return x.encode() if isinstance(x, str) else x
 
 
+@contextmanager
+def _record_errors() -> Iterator[None]:
+    """Spark's error about a changed record as the log's own."""
+    try:
+        yield
+    except PySparkException as e:
+        if found := re.search(r"ChecksumMismatch: (shard \d+, segment \d+, record ending at \d+)", str(e)):
+            raise errors.ChecksumMismatch(found[1]) from e
+        raise
+
+
 def _digest(entries: DataFrame) -> dict:
     """Count and an order-free digest of a snapshot's entries: the sum of their hashes modulo 2 ** 64."""
     row = entries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(entries.columns)).cast("decimal(38,0)")).alias("h")).first()
@@ -101,14 +116,16 @@ class Log:
     # -- reading
 
     def get(self, key: bytes | str) -> bytes:
-        found = S.get(self.store.log(), _bytes(key)).where(F.col("shard_id") == route(F.lit(_bytes(key)), self.config.shard_count)).take(1)
+        with _record_errors():
+            found = S.get(self.store.log(), _bytes(key)).where(F.col("shard_id") == route(F.lit(_bytes(key)), self.config.shard_count)).take(1)
         if not found:
             raise errors.KeyNotFound(repr(key))
         return bytes(found[0]["value"])
 
     def get_or_null(self, key: bytes | str, shard: int | None = None) -> bytes | None:
         where = F.lit(shard) if shard is not None else route(F.lit(_bytes(key)), self.config.shard_count)
-        found = S.get(self.store.log(), _bytes(key)).where(F.col("shard_id") == where).take(1)
+        with _record_errors():
+            found = S.get(self.store.log(), _bytes(key)).where(F.col("shard_id") == where).take(1)
         return bytes(found[0]["value"]) if found else None
 
     def get_ref(self, key: bytes | str) -> DataFrame:
@@ -132,7 +149,8 @@ class Log:
             raise errors.InvalidCursor(f"of generation {generation}")
         if tuple(cursor) > self.store.ends()[shard]:
             raise errors.CursorBeyondVisibleFrontier(str(cursor))
-        found = S.get_at(self.store.log(), _bytes(key), shard, *cursor).take(1)
+        with _record_errors():
+            found = S.get_at(self.store.log(), _bytes(key), shard, *cursor).take(1)
         return bytes(found[0]["value"]) if found else None
 
     def _checked(self, shard: int, cursor: tuple[int, int]) -> tuple[int, int]:

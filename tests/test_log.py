@@ -298,6 +298,8 @@ def test_changed_records_and_snapshots_are_told(log, spark, tmp_path):
         __import__("shutil").copy(new, folder)
     with pytest.raises(Exception, match="ChecksumMismatch"):
         log.read_all_merged().collect()
+    with pytest.raises(errors.ChecksumMismatch, match="shard 0, segment 0"):
+        log.get_or_null("b", shard=0)
     assert [(r["shard_id"], r["seqno"]) for r in log.valid_prefix().orderBy("shard_id", "seqno").collect()] == [(0, 1), (1, 1)]
 
 
