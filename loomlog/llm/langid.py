@@ -1,8 +1,7 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased letter by letter, all else is one space. N-grams are hashed into ``BUCKETS``. Counts by language
-are summed over the cluster from a bounded sample of labelled documents (``TRAIN_DOCS`` of them in expectation, chosen
-by a hash of the identifier; all where there are fewer). The log-probability matrix has BUCKETS x languages entries,
+are summed over the cluster from all labelled documents. The log-probability matrix has BUCKETS x languages entries,
 is checked against ``MATRIX_BYTES`` and broadcast; batches are scored in numpy by gathering and segment sums.
 
 Cases: null, empty and letterless texts are ``und`` with score 0; rows without identifier or label are not learned
@@ -27,13 +26,13 @@ from loomlog.llm.common import id_and_text, table
 BITS = 16
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
-TRAIN_DOCS = 20_000
 SMOOTHING = 0.5
 MATRIX_BYTES = 256 << 20
 UNKNOWN = "und"
 #: accepted() wants a mean log-likelihood per n-gram of at least this quantile of the learned documents, less so many nats
 #: for clean documents that are unlike most, less NOISE / sqrt(n-grams) for short ones.
 FIT_QUANTILE, FIT_SLACK, NOISE = 0.01, 1.5, 4.0
+FIT_DIGITS = 3  # so there are some 35,000 different fits at most
 
 
 @cache
@@ -98,21 +97,12 @@ def counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def bounded(labelled: DataFrame, train_docs: int) -> DataFrame:
+def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(doc_id, lang, text) to languages, log-probabilities (BUCKETS + 1 x languages) and log-priors, from every row that has all three."""
+    labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
     most = MATRIX_BYTES // (4 * BUCKETS)
-    found = labelled.groupBy("lang").count().limit(most + 1).collect()
-    if len(found) > most:
+    if labelled.select("lang").distinct().limit(most + 1).count() > most:
         raise ValueError(f"more than {most} languages need more than {MATRIX_BYTES} bytes of log-probabilities")
-    there = sum(r["count"] for r in found)
-    if there > train_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < int((1 << 30) * train_docs / there))
-    return labelled
-
-
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(doc_id, lang, text) to languages, log-probabilities (BUCKETS + 1 x languages) and log-priors."""
-    labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
-    labelled = bounded(labelled, train_docs)
     found = counts(labelled.select("lang", "text")).toPandas()
     langs = sorted(found["lang"].unique())
     matrix, docs = np.zeros((BUCKETS + 1, len(langs))), np.ones(len(langs))
@@ -176,7 +166,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def fits_from(learned: DataFrame, shared) -> float:
-    """The least fit of a document in a learned language, from those learned (doc_id, lang, text)."""
+    """The least fit of a document in a learned language, from all those learned (doc_id, lang, text): the quantile is
+    worked out from how often each fit, rounded to ``FIT_DIGITS``, occurs."""
 
     def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -184,7 +175,8 @@ def fits_from(learned: DataFrame, shared) -> float:
             own = scorer.fitting(batch.column(0))[2]
             yield pa.RecordBatch.from_arrays([pa.array(own[np.isfinite(own)])], ["fit"])
 
-    found = learned.select("text").mapInArrow(fits, "fit double").agg(F.percentile_approx("fit", FIT_QUANTILE)).first()[0]
+    often = learned.select("text").mapInArrow(fits, "fit double").groupBy(F.round("fit", FIT_DIGITS).alias("fit")).count()
+    found = often.agg(F.percentile("fit", F.lit(FIT_QUANTILE), F.col("count"))).first()[0]
     return -np.inf if found is None else found - FIT_SLACK
 
 
@@ -193,7 +185,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     fits that language about as well as the documents learned from; other languages and letter junk go."""
     learned = train_rows(docs, id_col, text_col, lang_col).where("lang is not null and text is not null and doc_id is not null")
     shared = docs.sparkSession.sparkContext.broadcast(fit(learned))
-    floor = fits_from(bounded(learned, TRAIN_DOCS), shared)
+    floor = fits_from(learned, shared)
     place = docs.columns.index(text_col)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

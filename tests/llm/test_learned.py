@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from loomlog.llm import langid, neardup, toxicity
@@ -31,6 +32,28 @@ def test_accepted_rejects_foreign_text_and_junk(spark):
     assert {r["doc_id"] for r in langid.accepted(docs.union(more)).collect()} == told
 
 
+def test_language_model_and_bound_come_from_all_learned_documents(spark, monkeypatch):
+    """45,000 labelled documents, with 20 languages of one document each; a sample would lose some of them."""
+    n, one = 45_000, 20
+    rows = [(3 * k, f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} and text", f"l{k:02d}" if k < one else "en") for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    langs, _, prior = langid.fit(docs)
+    assert langs == ["en", *(f"l{k:02d}" for k in range(one))]
+    assert np.exp(prior) * n == pytest.approx([n - one, *[1] * one])
+    seen, kept = [], langid.fits_from
+
+    def watched(learned, shared):
+        seen.extend([{r["doc_id"] for r in learned.select("doc_id").collect()}, kept(learned, shared), shared.value])
+        return seen[1]
+
+    monkeypatch.setattr(langid, "fits_from", watched)
+    langid.accepted(docs)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert len(learned) > 25_000 and seen[0] == {r[0] for r in learned}
+    fits = langid.Scorer(seen[2]).fitting(pa.array([r[1] for r in learned]))[2]
+    assert seen[1] == pytest.approx(np.quantile(fits, langid.FIT_QUANTILE) - langid.FIT_SLACK, abs=2e-3)
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{LARGER}/labels.parquet")
     rows = QUERIES["op7_toxicity"](spark, LARGER).join(labels, "doc_id").where("held_out").collect()
