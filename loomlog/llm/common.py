@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 
 ARROW_BYTES = 4 << 20
+SIEVE_BITS = 1 << 27  # bits of a sieve at most (16 MB)
+PART_BITS = 1 << 15  # bits of a bitmap that bitmap_construct_agg makes
 
 
 def lean(spark: SparkSession) -> None:
@@ -86,6 +88,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sieved(df: DataFrame, key: str, ids: DataFrame, most_bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``ids`` (one column, staged), and few others: about one in 16, more where
+    ``most_bits`` are less than 16 for each of ids. For a join that would move wide rows: they stay where they are, and
+    only a bitmap of hashed ids, ``most_bits`` at most, is broadcast in parts of ``PART_BITS``."""
+    bits = PART_BITS
+    while bits < min(most_bits, 16 * ids.count()):
+        bits *= 2
+    place = lambda column: F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)).cast("int")
+    own = ids.select(place(ids.columns[0]).alias("p")).select(F.floor(F.col("p") / PART_BITS).alias("sieve_part"), (F.col("p") % PART_BITS).cast("long").alias("at"))
+    # Dealt by part first, so there is one bitmap a part and not one a task and part.
+    parts = own.repartition("sieve_part").groupBy("sieve_part").agg(F.bitmap_construct_agg("at").alias("sieve_bits"))
+    met = df.withColumn("sieve_at", place(key)).withColumn("sieve_part", F.floor(F.col("sieve_at") / PART_BITS)).join(F.broadcast(parts), "sieve_part")
+    byte = F.conv(F.hex(F.expr(f"substring(sieve_bits, cast((sieve_at % {PART_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.where(F.getbit(byte, F.col("sieve_at") % 8) == 1).select(*df.columns)
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm.arrays import chunks, mix
-from loomlog.llm.common import bucketed, freed, id_and_text, staged, table
+from loomlog.llm.common import bucketed, freed, id_and_text, sieved, staged, table
 from loomlog.llm.components import components
 from loomlog.llm.shingles import sets
 
@@ -336,7 +336,9 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     shared = open_.select("key", "band", "id")
     sketched = known.select(F.col("doc_id").alias("id"), "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
     sketched = staged(sketched.join(shared.select("id").distinct(), "id", "left_semi"), "sketched")
-    texts = docs.join(sketched.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = sketched.select(F.col("id").alias("doc_id"))
+    # An inner join, as Spark would move a semi join below the sieve. Identifiers of sketched are unique.
+    texts = sieved(docs, "doc_id", wanted).join(wanted, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"])
     texts = bucketed(texts, "doc_id", "texts")
     label, tried, found = None, None, []
     for turn in range(ROUNDS):

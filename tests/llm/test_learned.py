@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from conftest import DATA
 from loomlog.llm import langid, neardup, toxicity
+from loomlog.llm.common import sieved
 from loomlog.llm.components import components
 from loomlog.llm.registry import QUERIES
 
@@ -204,6 +205,39 @@ def test_near_duplicates_recall_on_the_documents(spark):
     assert got == want
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote for a shuffle."""
+    none, sc = spark._jvm.java.util.ArrayList(), spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_near_duplicates_move_only_texts_that_share_a_bucket(spark):
+    rng = random.Random(5)
+    docs = {d: " ".join(f"{rng.getrandbits(64):016x}" for _ in range(1500)) for d in range(300)}
+    docs |= {300 + d: docs[d] + " another end" for d in range(3)}
+    name, size = "spark.sql.autoBroadcastJoinThreshold", sum(map(len, docs.values()))
+    before = spark.conf.get(name)
+    df, moved = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3).localCheckpoint(), shuffled(spark)
+    try:
+        spark.conf.set(name, "-1")  # as where there are too many identifiers to broadcast
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, k=3, percent=85).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {d: d % 300 for d in docs}
+    assert shuffled(spark) - moved < 0.5 * size
+
+
+@pytest.mark.parametrize("number, bits", [(0, 1 << 27), (1, 1 << 27), (5000, 1 << 27), (5000, 1 << 15), (90_000, 1 << 27)])
+def test_sieve_loses_no_row(spark, number, bits):
+    df = spark.range(30_000).selectExpr("if(id = 0, null, id - 15000) as doc_id", "'x' as text")
+    ids = {7 * k - 14_000 for k in range(number)}
+    rows = sieved(df, "doc_id", spark.range(number).selectExpr("id * 7 - 14000 as id"), bits).collect()
+    got, want = {r["doc_id"] for r in rows}, ids & set(range(-14_999, 15_000))
+    assert len(got) == len(rows) and want <= got
+    assert bits == 1 << 15 or len(got - want) < 6000
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(5, 5)]
     got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
