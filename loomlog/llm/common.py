@@ -92,8 +92,8 @@ def sieved(df: DataFrame, key: str, ids: DataFrame, most_bits: int = SIEVE_BITS)
     """The rows of ``df`` whose ``key`` is among ``ids`` (one column, staged), and few others: about one in 16, more where
     ``most_bits`` are less than 16 for each of ids. For a join that would move wide rows: they stay where they are, and
     only a bitmap of hashed ids, ``most_bits`` at most, is broadcast in parts of ``PART_BITS``."""
-    bits = PART_BITS
-    while bits < min(most_bits, 16 * ids.count()):
+    bits, enough = PART_BITS, min(most_bits, 16 * ids.count())
+    while bits < enough:
         bits *= 2
     place = lambda column: F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)).cast("int")
     own = ids.select(place(ids.columns[0]).alias("p")).select(F.floor(F.col("p") / PART_BITS).alias("sieve_part"), (F.col("p") % PART_BITS).cast("long").alias("at"))

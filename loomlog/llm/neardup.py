@@ -10,10 +10,10 @@ threshold is missed with probability ``MISS`` at most. Pairs are then found with
    one in each bucket and round; the ``ASKED`` met most often are checked on full sets, and linked components are hooked
    together. There are ``ROUNDS`` at most; what they miss is left to step 2;
 2. where a bucket still has several components, the members outside its largest one are queries against its other
-   members. The joint likelihood of both register vectors and set sizes estimates the similarity, and pairs of different
-   components with an estimate near the threshold are checked on full sets. Buckets of up to ``SMALL`` members list these
-   pairs. In larger ones first only registers are compared, in blocks; members with a near partner then meet once more
-   with their sets, and a block returns a spanning forest of its links: at most one link less than it has components.
+   members, in blocks. The joint likelihood of both register vectors and set sizes estimates the similarity. First only
+   registers are compared; members with a near partner of another component (in buckets of up to ``SMALL`` members, one
+   that no round checked) then meet once more with their sets, pairs with an estimate near the threshold are checked on
+   these, and a block returns a spanning forest of its links: at most one link less than it has components.
 
 So every pair that shares a band and whose estimate lies within ``MARGIN`` is either in one component or was compared.
 Sets are of 64-bit shingle hashes, so "full sets" are equal up to collisions of these.
@@ -205,9 +205,11 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def residual(mixed: DataFrame, rows: int, number: int, percent: int, what: str) -> DataFrame:
-    """Rows dealt by (key, block, asked) to ``what``: the pairs (a, b) near the threshold; marks (key, a) of their members; or,
-    where sets came along, a spanning forest of links (a, b)."""
-    group, schema = ["key", "block", "asked"], "key long, a long" if what == "marks" else "a long, b long"
+    """Rows dealt by (key, block, asked) to ``what``: marks (key, band, id, component, n, a, b) of the members of pairs near
+    the threshold, with the pair itself in buckets of up to ``SMALL`` members and null in larger ones; or, where sets came
+    along, a spanning forest of links (a, b). Either may repeat."""
+    group, most = ["key", "block", "asked"], SMALL
+    schema = "key long, band int, id long, component long, n long, a long, b long" if what == "marks" else "a long, b long"
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: list[pa.RecordBatch] = []
@@ -217,12 +219,15 @@ def residual(mixed: DataFrame, rows: int, number: int, percent: int, what: str)
             x, y, told = near_pairs(whole, rows, number)
             ids = whole.column("id").to_numpy()
             if what == "marks":
-                both = np.unique(np.concatenate([x, y]))
-                key, ids = whole.column("key").to_numpy()[both], ids[both]
-                return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ids, pa.int64())], ["key", "a"])
-            if what == "links":
-                kept = forest(whole, x, y, told, percent)
-                x, y = x[kept], y[kept]
+                large = whole.column("all").to_numpy()[x] > most
+                both = np.unique(np.concatenate([x[large], y[large]]))
+                x, y = x[~large], y[~large]
+                at = np.concatenate([both, x, y])
+                own = [pa.array(whole.column(c).to_numpy()[at]) for c in ("key", "band", "id", "component", "n")]
+                ends = [pa.array(np.concatenate([both, *[end(ids[x], ids[y])] * 2]), pa.int64(), mask=np.arange(len(at)) < len(both)) for end in (np.minimum, np.maximum)]
+                return pa.RecordBatch.from_arrays([*own, *ends], ["key", "band", "id", "component", "n", "a", "b"])
+            kept = forest(whole, x, y, told, percent)
+            x, y = x[kept], y[kept]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y]), pa.int64()), pa.array(np.maximum(ids[x], ids[y]), pa.int64())], ["a", "b"])
 
         for whole in batches:
@@ -241,74 +246,84 @@ def residual(mixed: DataFrame, rows: int, number: int, percent: int, what: str)
         if carried:
             yield settled()
 
-    sent = [*group, "query", "id", "component", "n", "band", "least", "registers", *(["set"] if what == "links" else [])]
+    sent = [*group, "query", "id", "component", "n", "band", "least", "registers", "all" if what == "marks" else "set"]
     dealt = mixed.withColumn("least", F.lit(percent / 100 - MARGIN)).select(*sent).repartition(*group)
-    return dealt.sortWithinPartitions(*group, "query").mapInArrow(close, schema).distinct()
+    return dealt.sortWithinPartitions(*group, "query").mapInArrow(close, schema)
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """Members of open buckets (key, component, n and more) to their blocks: each as a member, those outside the bucket's
-    largest component as queries too. Counts are of ``rows``, so buckets that shrank need fewer blocks."""
+    """Members (key, component, n and more) of buckets with several components to their blocks: each as a member, those outside
+    the bucket's largest component as queries too; with the members of the bucket (all). Counts are of ``rows``, so buckets
+    that shrank need fewer blocks. Rows should be narrow: what is wide joins them afterwards."""
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") * 8 + 300).alias("size"))
     largest = F.max_by(F.struct("component", "c", "size"), F.struct("c", "component"))
     main = sizes.groupBy("key").agg(largest.alias("main"), F.sum("c").alias("all"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     upto = lambda c, size: F.ceil(F.greatest(c / BLOCK, size / BLOCK_BYTES, F.lit(1e-9))).cast("int")
-    main = main.select("key", "main.component", upto(F.col("all"), F.col("size")).alias("blocks"), upto(F.col("all") - F.col("main.c"), F.col("size") - F.col("main.size")).alias("asking")).withColumnRenamed("component", "main")
-    met = rows.join(main, "key")
+    main = main.select("key", "main.component", "all", upto(F.col("all"), F.col("size")).alias("blocks"), upto(F.col("all") - F.col("main.c"), F.col("size") - F.col("main.size")).alias("asking")).withColumnRenamed("component", "main")
     place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    there = met.select(*rows.columns, F.lit(False).alias("query"), place(F.col("blocks")).alias("block"), each(F.col("asking")).alias("asked"))
-    asked = met.where("component <> main").select(*rows.columns, F.lit(True).alias("query"), each(F.col("blocks")).alias("block"), place(F.col("asking")).alias("asked"))
-    return there.unionByName(asked)
+    spot = lambda query, block, asked: F.struct(F.lit(query).alias("query"), block.alias("block"), asked.alias("asked"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    there = each("asking", lambda k: spot(False, place(F.col("blocks")), k))
+    asked = each("blocks", lambda k: spot(True, k, place(F.col("asking"))))
+    spots = F.explode(F.when(F.col("component") == F.col("main"), there).otherwise(F.concat(there, asked)))
+    return rows.join(main, "key").select(*rows.columns, "all", spots.alias("spot")).select(*rows.columns, "all", "spot.*")
 
 
-def with_sets(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Rows with the full set of their document as bytes."""
-    schema = "id long, set binary"
+def sets_of(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(id), with repeats, to (id, set): the full set of each document as bytes."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1, 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets(batch.column(1), k)], pa.binary())], ["id", "set"])
 
-    wanted = texts.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return rows.join(wanted.select("doc_id", "text").mapInArrow(draw, schema), "id")
+    wanted = texts.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return wanted.select("doc_id", "text").mapInArrow(draw, "id long, set binary")
 
 
 def classes(known: DataFrame) -> DataFrame:
-    """(doc_id, rep): the least identifier with the same set. The least is worked out before anything moves, and the way back is
-    a join, whose large partitions are split at run time."""
+    """(doc_id, rep): the least identifier with the same set; ``known`` has an identifier once. The least is worked out before anything moves; on the
+    way back, a join, the narrow rows of a set still meet in one task."""
     same = ["digest", "n_shingles"]
     some = known.where("n_shingles > 0").select("doc_id", *same)
-    return some.join(some.groupBy(*same).agg(F.min("doc_id").alias("rep")), same).select("doc_id", "rep").distinct()
+    return some.join(some.groupBy(*same).agg(F.min("doc_id").alias("rep")), same).select("doc_id", "rep")
 
 
 def buckets(met: DataFrame) -> DataFrame:
-    """(key, band, id) of buckets with several members, each member its own component: with a random leader and the size."""
+    """(key, band, id, n) of buckets with several members, each member its own component: with a random leader."""
     any_ = F.struct(F.xxhash64("key", "id"), "id")
     of = met.groupBy("key").agg(F.min(any_)["id"].alias("leader"), F.count(F.lit(1)).alias("all")).where("all > 1")
-    return met.join(of, "key").select("key", "band", "id", F.col("id").alias("component"), F.col("leader").alias("main"), "leader", "all")
+    return met.join(of, "key").select("key", "band", "id", "n", F.col("id").alias("component"), F.col("leader").alias("main"), "leader")
+
+
+def labelled(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, band, id, n) with the component of each, itself where it has none."""
+    return shared.join(label, "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def leaders(shared: DataFrame, label: DataFrame, turn: int) -> DataFrame:
-    """(key, band, id) and (id, component) to open members (key, band, id, component, main, leader, all): the bucket has
-    several components, and the leader is a random member of the largest one."""
-    labelled = shared.join(label, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    """(key, band, id, n) and (id, component) to open members (component, main, leader besides): the bucket has several
+    components, and the leader is a random member of the largest one."""
+    own = labelled(shared, label)
     any_ = F.struct(F.xxhash64("key", "id", F.lit(turn)), "id")
-    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(any_)["id"].alias("leader"))
-    largest = F.max_by(F.struct("component", "leader"), F.struct("n", F.xxhash64("key", "component", F.lit(turn))))
-    main = sizes.groupBy("key").agg(largest.alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    main = main.select("key", F.col("main.component").alias("main"), "main.leader", "all")
-    return labelled.join(main, "key")
+    sizes = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min(any_)["id"].alias("leader"))
+    largest = F.max_by(F.struct("component", "leader"), F.struct("c", F.xxhash64("key", "component", F.lit(turn))))
+    main = sizes.groupBy("key").agg(largest.alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return own.join(main.select("key", F.col("main.component").alias("main"), "main.leader"), "key")
+
+
+def contracted(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b) with each end moved to its component, where it has one."""
+    both = links.select("a", "b")
+    for side in ("a", "b"):
+        known = label.select(F.col("id").alias(side), F.col("component").alias("up"))
+        both = both.join(known, side, "left").withColumn(side, F.coalesce("up", side)).select("a", "b")
+    return both
 
 
 def hooked(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """(id, component) after new links: each component moves to the least one that it is linked with, and on to where that one
-    moves. Chains may stay in parts; components() over all links has the last word."""
-    both = links.select("a", "b")
-    if label is not None:
-        for side in ("a", "b"):
-            known = label.select(F.col("id").alias(side), F.col("component").alias("up"))
-            both = both.join(known, side, "left").withColumn(side, F.coalesce("up", side)).select("a", "b")
+    moves. Chains may stay in parts; components() over what all links still join has the last word."""
+    both = links if label is None else contracted(label, links)
     up = staged(both.where("a <> b").groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("to")), "hooks")
     further = up.select(F.col("id").alias("to"), F.col("to").alias("on"))
     up = up.join(further, "to", "left").select("id", F.coalesce("on", "to").alias("component"))
@@ -323,18 +338,22 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     rows, number = bands(percent)
     drawn = staged(sketch(docs, k, rows, number), "sketch")
     known = drawn.where("doc_id is not null")
-    if not known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").isEmpty():
+    again = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), (F.min("digest") != F.max("digest")).alias("differ")).where("c > 1")
+    again = again.agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.max("differ"), F.lit(False)).alias("differ")).first()
+    if again["differ"]:
         docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
         known = staged(sketch(docs, k, rows, number), "sketch")
+    elif again["c"]:
+        known = staged(known.dropDuplicates(["doc_id"]), "sketch")
     members = staged(classes(known), "classes")
     same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = members.where("doc_id = rep").select("doc_id")
     own = known.where("n_shingles > 0").join(reps, "doc_id", "left_semi")
-    met = staged(own.select(F.posexplode("keys").alias("band", "key"), F.col("doc_id").alias("id")).distinct(), "bands")
+    met = staged(own.select(F.posexplode("keys").alias("band", "key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "bands")
     open_ = staged(buckets(met), "buckets")
     freed(met)
-    shared = open_.select("key", "band", "id")
-    sketched = known.select(F.col("doc_id").alias("id"), "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
+    shared = open_.select("key", "band", "id", "n")
+    sketched = known.select(F.col("doc_id").alias("id"), "registers")
     sketched = staged(sketched.join(shared.select("id").distinct(), "id", "left_semi"), "sketched")
     wanted = sketched.select(F.col("id").alias("doc_id"))
     # An inner join, as Spark would move a semi join below the sieve. Identifiers of sketched are unique.
@@ -349,17 +368,20 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
         asked = staged(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "pairs")
         found.append(staged(verified(asked, texts, k, percent), "links"))
         label, tried = hooked(label, found[-1]), asked if tried is None else tried.union(asked)
-        open_ = staged(leaders(shared, label, turn), "open")
-    full = staged(open_.join(sketched, "id").select("key", "band", "id", "component", "n", "registers", "all"), "mixed")
-    small = staged(residual(dealt(full.where(F.col("all") <= SMALL)), rows, number, percent, "pairs").join(tried, ["a", "b"], "left_anti"), "pairs")
-    found.append(staged(verified(small.withColumn("hub", F.col("b")), texts, k, percent), "links"))
-    large = full.where(F.col("all") > SMALL)
-    if not large.isEmpty():
-        marks = staged(residual(dealt(large), rows, number, percent, "marks"), "marks")
-        near = large.join(marks.withColumnRenamed("a", "id"), ["key", "id"], "left_semi")
-        found.append(staged(residual(dealt(with_sets(near, texts, k)), rows, number, percent, "links"), "links"))
+        if turn + 1 < ROUNDS:
+            open_ = staged(leaders(shared, label, turn), "open")
+    mixed = dealt(labelled(shared, label)).join(sketched, "id")
+    marks = staged(residual(mixed, rows, number, percent, "marks"), "marks")
+    own = ["key", "band", "id", "component", "n"]
+    unasked = marks.where("a is not null").join(tried, ["a", "b"], "left_anti").select(*own)
+    near = staged(marks.where("a is null").select(*own).union(unasked).distinct(), "near")
+    if not near.isEmpty():
+        mixed = dealt(near).join(sketched, "id").join(sets_of(near, texts, k), "id")
+        found.append(staged(residual(mixed, rows, number, percent, "links"), "links"))
     freed(texts)
-    of = staged(components(reduce(DataFrame.union, found)), "components")
+    # The labels follow from the links, and with them the links may as well hold between the ends' components.
+    left = label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(contracted(label, reduce(DataFrame.union, found)))
+    of = staged(components(left), "components")
     # Of equal sets each follows its representative.
     follow = same.join(of.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
     return drawn.select("doc_id", "n_shingles"), of.union(follow)

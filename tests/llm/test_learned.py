@@ -228,6 +228,42 @@ def test_near_duplicates_move_only_texts_that_share_a_bucket(spark):
     assert shuffled(spark) - moved < 0.5 * size
 
 
+def test_near_duplicates_run_few_tasks(spark):
+    """With partitions that nothing coalesces, small tasks are what takes the time."""
+    rng = random.Random(3)
+    docs = family(60, 6) | {60 + d: t for d, t in family(40, 4, 12).items()}
+    docs |= {100 + d: " ".join(f"{rng.getrandbits(32):x}" for _ in range(60)) for d in range(40)}
+    docs |= {140 + d: docs[100 + d] + " end" for d in range(20)}
+    own = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in own}
+    df, sc = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3).localCheckpoint(), spark.sparkContext
+    try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        sc.setJobGroup("few-tasks", "")
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, k=3, percent=85).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == brute_components(docs, 3, 85)[0]
+    told = sc.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few-tasks") for s in told.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := told.getStageInfo(s)))
+    assert tasks <= 1100
+
+
+@pytest.mark.parametrize("repeats", ["same", "other"])
+def test_near_duplicates_of_repeated_identifiers(spark, repeats):
+    docs = family(30, 6)
+    rows = list(docs.items()) + [(d, docs[d] if repeats == "same" else docs[d] + " zz") for d in range(0, 30, 2)] + [(None, docs[0]), (40, "")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, _ = brute_components(docs | {40: ""}, 3, 85)
+    found = neardup.near_duplicates(df, k=3, percent=85).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(d for d, _ in rows)
+    assert all(r["component_id"] == want.get(r["doc_id"]) for r in found)
+
+
 @pytest.mark.parametrize("number, bits", [(0, 1 << 27), (1, 1 << 27), (5000, 1 << 27), (5000, 1 << 15), (90_000, 1 << 27)])
 def test_sieve_loses_no_row(spark, number, bits):
     df = spark.range(30_000).selectExpr("if(id = 0, null, id - 15000) as doc_id", "'x' as text")
